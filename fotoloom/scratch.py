@@ -31,6 +31,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/fotoloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The shuffles behind the table are of no more use; their files go once the driver notices that nothing refers to them.
+    df.sparkSession.sparkContext._jvm.System.gc()
     if not _written:
         atexit.register(release)
     _written.append(path)
