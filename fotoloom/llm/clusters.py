@@ -4,7 +4,7 @@
    farthest. Near vectors share most of their sets, far ones few; MinHash bands of these sets make candidates. Vectors
    found alike inside a chunk of a task share a label, and each (band, label) leaves the task once, so copies and bursts
    do not multiply: a hot bucket holds at most one row per label and chunk.
-2. Within a bucket, in order of time, rows less than the time limit apart whose 64-bit sketches nearly agree are
+2. Within a bucket, in order of time, rows less than the time limit apart whose 128-bit sketches nearly agree are
    candidates; a task hands on only a spanning forest of them.
 3. Connected components of the candidates bring the vectors together, once. In each component the exact cosine in double
    precision decides on every pair (the sets' Jaccard similarity only approximates what is asked for, so it selects
@@ -38,7 +38,8 @@ BROADCAST_ROWS = 2_000_000
 #: Jaccard similarity of the sets of two vectors at cosine 0.85, and the chance that two unrelated ones share a MinHash.
 JACCARD_AT_LIMIT = 0.43
 CHANCE = 0.03
-SKETCH_DEVIATIONS = 2.6
+SKETCH_BITS = 128
+SKETCH_DEVIATIONS = 2.0
 MINUTE = 60_000_000
 
 
@@ -70,11 +71,11 @@ class Signer:
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys (a row per band) and sketches."""
         n, (bands, hashes, _) = len(x), self.orders.shape
-        keys, sketches = np.empty((bands, n), np.int64), np.empty(n, np.uint64)
+        keys, sketches = np.empty((bands, n), np.int64), np.empty((n, 2), np.uint64)
         for at in range(0, n, 8192):
             y = x[at : at + 8192] @ self.axes
             part = slice(at, at + len(y))
-            sketches[part] = np.packbits(y[:, :64] > 0, axis=1).view(np.uint64).ravel()
+            sketches[part] = np.packbits(y[:, :SKETCH_BITS] > 0, axis=1).view(np.uint64)
             top = np.argpartition(np.abs(y), PROJECTIONS - TOKENS, axis=1)[:, PROJECTIONS - TOKENS :]
             tokens = 2 * top + (np.take_along_axis(y, top, 1) > 0)
             for b in range(bands):
@@ -99,16 +100,14 @@ def _span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int):
-    """Rows (key, span, label, sketch) of every band; and, with a span of -1, every id (as sketch) with its label."""
+    """Rows (key, span, label, sketch in two halves) of every band; and, with a span of -1, every id (as sketch) with its label."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(dim, bands, hashes)
         held: list[tuple] = []
 
-        def rows(key, span, label, sketch):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(span), pa.array(label), pa.array(sketch)], names=["key", "span", "label", "sketch"]
-            )
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "span", "label", "s1", "s2"])
 
         def chunk() -> Iterator[pa.RecordBatch]:
             ids, t, x = (np.concatenate(c) for c in zip(*held))
@@ -131,13 +130,13 @@ def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int):
             rank = np.empty(len(ids), np.int64)
             rank[by_id] = np.arange(len(ids))
             label = ids[by_id][label_components(len(ids), rank[np.concatenate(a)], rank[np.concatenate(b)])][rank]
-            yield rows(_mixed(ids.view(np.uint64)).view(np.int64), np.full(len(ids), -1), label, ids)
+            yield rows(_mixed(ids.view(np.uint64)).view(np.int64), np.full(len(ids), -1), label, ids, ids)
             for key in keys:
                 order = np.lexsort((t, label, key))
                 k, lab = key[order], label[order]
                 first = _first_of_runs(k, lab)
                 last = np.append(first[1:], len(k)) - 1
-                yield rows(k[first], _span(t[order[first]], t[order[last]]), lab[first], sketches[order[first]].view(np.int64))
+                yield rows(k[first], _span(t[order[first]], t[order[last]]), lab[first], *(sketches[order[first]].view(np.int64).T))
 
         count = 0
         for batch in batches:
@@ -187,10 +186,10 @@ def _joined(limit: int, distance: int):
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 1, 400_000):
-            key, span, label, sketch = (np.asarray(c) for c in columns)
+            key, span, label, s1, s2 = (np.asarray(c) for c in columns)
             plain = span == -1
-            own_a, own_b = sketch[plain], label[plain]
-            key, span, label, sketch = key[~plain], span[~plain], label[~plain], sketch[~plain].view(np.uint64)
+            own_a, own_b = s1[plain], label[plain]
+            key, span, label, s1, s2 = key[~plain], span[~plain], label[~plain], s1[~plain].view(np.uint64), s2[~plain].view(np.uint64)
             low, high = span >> 32, (span & 0xFFFFFFFF)
             end = np.append(_first_of_runs(key)[1:], len(key)) if len(key) else np.zeros(0, np.int64)
             end = np.repeat(end, np.diff(np.append(0, end))) if len(end) else end
@@ -202,7 +201,8 @@ def _joined(limit: int, distance: int):
                 # In order of the earlier time: once too late, every later row of the bucket is too.
                 active = active[low[active + d] <= high[active] + minutes]
                 other = active + d
-                near = (np.bitwise_count(sketch[active] ^ sketch[other]) <= distance) & (label[active] != label[other])
+                apart = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
+                near = (apart <= distance) & (label[active] != label[other])
                 a.append(label[active[near]])
                 b.append(label[other[near]])
             a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
@@ -343,8 +343,8 @@ def verified_records(
     )
     bands, hashes = banding_ or banding(records.where(F.col(row_id).isNotNull() & F.col(time).isNotNull()).count())
     miss = math.acos(min_similarity) / math.pi
-    distance = round(64 * miss + SKETCH_DEVIATIONS * math.sqrt(64 * miss * (1 - miss)))
-    banded = slim.mapInArrow(_banded(dim, bands, hashes, min_similarity, limit), "key long, span long, label long, sketch long")
+    distance = round(SKETCH_BITS * miss + SKETCH_DEVIATIONS * math.sqrt(SKETCH_BITS * miss * (1 - miss)))
+    banded = slim.mapInArrow(_banded(dim, bands, hashes, min_similarity, limit), "key long, span long, label long, s1 long, s2 long")
     edges = materialize(banded.repartition("key").sortWithinPartitions("key", "span").mapInArrow(_joined(limit, distance), "a long, b long"), "edges")
     roots = connected_components(edges)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", F.greatest(F.lit(1), F.ceil(F.col("_n") / block)).alias("blocks"))
