@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fotoloom.functions.arrays import unit_rows, usable_matrix
 from fotoloom.scratch import materialize
 
-SAMPLE = 12_288
+SAMPLE = 10_240
 PILOTS = 192
 QUERY_BLOCK = 32_768
 MAX_PARTS = 128
@@ -58,8 +58,8 @@ class Partitioner:
 def nearest_within(x: np.ndarray, k: int) -> np.ndarray:
     """Each row's k nearest other rows, by blocks."""
     k, out = min(k, len(x) - 1), []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
         out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
     return np.vstack(out)
@@ -186,11 +186,12 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
 
     Similarities are taken in single precision first; the best k and a margin are then computed in double.
     """
-    single = vectors.astype(np.float32)
     keep = k + 6
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, ids, rows, held = _Best(len(vectors), keep), [], [], 0
+        double = unit_rows(vectors)
+        single = double.astype(np.float32)
         every = np.arange(len(vectors))
         found: list[tuple] = []
 
@@ -232,7 +233,7 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
             for base, (mine, x, home) in enumerate(found):
                 here = np.flatnonzero(r >> 32 == base)
                 at = np.searchsorted(mine, r[here] & 0xFFFFFFFF)
-                sim[here] = np.einsum("ij,ij->i", vectors[q[here]], x[at])
+                sim[here] = np.einsum("ij,ij->i", double[q[here]], x[at])
                 part[here] = home[at]
             mask = i != own[q]
             yield pa.RecordBatch.from_arrays([pa.array(a[mask]) for a in (q.astype(np.int32), i, sim, part)], names=["q", "id", "sim", "part"])
@@ -248,17 +249,26 @@ def _best_of_all(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _pull(df: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of a bounded number of rows."""
-    t = df.select("id", "v").toArrow()
-    ok, m = usable_matrix(t.column("v"), dim) if t.num_rows else (np.zeros(0, bool), np.zeros((0, dim)))
-    return np.asarray(t.column("id"))[ok], unit_rows(m) if len(m) else np.zeros((0, dim))
+def _pull(df: DataFrame, dim: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and usable vectors of a bounded number of rows; of the `most` with the least `h`, if given."""
+    t = df.select("id", "v", *(["h"] if most else [])).toArrow()
+    if not t.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+    ok, m = usable_matrix(t.column("v"), dim)
+    ids = np.asarray(t.column("id"))[ok]
+    if most:
+        order = np.lexsort((ids, np.asarray(t.column("h"))[ok]))[:most]
+        return ids[order], m[order]
+    return ids, m
 
 
 def train(corpus: DataFrame, dim: int, k: int, recall: float) -> tuple[Partitioner, int]:
     """The classifier, and how many parts to visit for the recall wanted. corpus: `id long`, `v array<float>`."""
-    drawn = corpus.where(F.col("v").isNotNull() & (F.size("v") == dim)).withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(SAMPLE + PILOTS)
-    ids, x = _pull(drawn.orderBy("_h", "id"), dim)
+    # The rows with the least hashes, as many as wanted and a few more to choose from: nothing else leaves the executors.
+    share = min(1.0, 1.2 * (SAMPLE + PILOTS) / max(1, corpus.select("id").count()))
+    least = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    ids, x = _pull(corpus.where(least & F.col("v").isNotNull()).withColumn("h", F.xxhash64("id")), dim, SAMPLE + PILOTS)
+    x = unit_rows(x) if len(x) else x
     pilots = min(PILOTS, len(ids) // 8)
     seen = x[pilots:]
     parts = 1
@@ -267,7 +277,7 @@ def train(corpus: DataFrame, dim: int, k: int, recall: float) -> tuple[Partition
     model = fit(seen, parts)
     if model.parts == 1 or not pilots:
         return model, model.parts
-    probe, own = x[:pilots], ids[:pilots]
+    probe, own = x[:pilots].astype(np.float32), ids[:pilots]
     true = _best_of_all(corpus.mapInArrow(_search(model, probe, own, None, k, dim), _FOUND), k).select("q", "part").toPandas()
     rank = np.argsort(np.argsort(-model.scores(probe.astype(np.float32)), axis=1, kind="stable"), axis=1, kind="stable")
     needed = np.sort(rank[true["q"].to_numpy(), true["part"].to_numpy()])
@@ -296,7 +306,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, que
         ids, x = _pull(mine, dim)  # at most about QUERY_BLOCK rows
         if not len(ids):
             continue
-        scores = model.scores(x.astype(np.float32))
+        scores = model.scores(unit_rows(x).astype(np.float32))
         chosen = np.argpartition(-scores, visit - 1, axis=1)[:, :visit] if visit < model.parts else np.tile(np.arange(model.parts), (len(x), 1))
         flat, who = chosen.ravel(), np.repeat(np.arange(len(x)), chosen.shape[1])
         order = np.argsort(flat, kind="stable")
