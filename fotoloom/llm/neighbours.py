@@ -61,7 +61,7 @@ def nearest_within(x: np.ndarray, k: int) -> np.ndarray:
     for at in range(0, len(x), 256):
         s = x[at : at + 256] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())  # a view would hold the whole matrix
     return np.vstack(out)
 
 
