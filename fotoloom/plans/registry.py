@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fotoloom.plans import activity
+from fotoloom.plans import activity, album_queries, gallery_queries
 
-_MODULES = (activity,)
+_MODULES = (activity, gallery_queries, album_queries)
 
 
 def queries() -> dict:
