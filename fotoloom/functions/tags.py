@@ -16,6 +16,11 @@ def _strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside lambdas an expression would be computed at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def catalog_tags(tags: str | Column) -> Column:
     """As the catalog keeps them: trimmed, without null and blank ones, in order; a null list is empty."""
     empty = F.array().cast("array<string>")
@@ -53,12 +58,13 @@ def excluded(tags: str | Column) -> Column:
 
 def without_synonyms(tags: str | Column) -> Column:
     """Drops the second tag of a synonym pair where the first stands too, letter case ignored; short lists are kept."""
-    tags = _col(tags)
-    low = F.transform(tags, lambda t: F.lower(t))
-    dropped = F.filter(_strings(b.lower() for _, b in SYNONYMS), lambda b: F.lit(False))
-    for keep, drop in SYNONYMS:
-        dropped = F.when(F.array_contains(low, keep.lower()), F.array_append(dropped, F.lit(drop.lower()))).otherwise(dropped)
-    return F.when(F.size(tags) <= 1, tags).otherwise(F.filter(tags, lambda t: ~F.array_contains(dropped, F.lower(t))))
+    pairs = F.array(*(F.struct(F.lit(a.lower()).alias("keep"), F.lit(b.lower()).alias("drop")) for a, b in SYNONYMS))
+
+    def thinned(t: Column) -> Column:
+        low = _let(F.transform(t, lambda x: F.lower(x)), lambda low: F.transform(F.filter(pairs, lambda p: F.array_contains(low, p["keep"])), lambda p: p["drop"]))
+        return _let(low, lambda dropped: F.filter(t, lambda x: ~F.array_contains(dropped, F.lower(x))))
+
+    return _let(_col(tags), lambda t: F.when(F.size(t) <= 1, t).otherwise(thinned(t)))
 
 
 def with_person(tags: str | Column, faces: str | Column) -> Column:

@@ -2,7 +2,8 @@
 
 A change of date always ends an episode, so every window is partitioned by date and nothing needs a global order; only
 page numbers do, and these come from one row per date. Vectors ride along once: all windows and both folds cluster on the
-date, so the photos are shuffled a single time. Order-dependent folds run per burst of two or more and per episode.
+date, so the photos are shuffled a single time. Order-dependent folds run per burst of two or more and per episode,
+some episodes to a call.
 
 Defined results: photos without a date are left out; null flags count as false, null scores as 0, null tags as none; ties
 of date are ordered by id; an empty table gives empty results.
@@ -20,6 +21,7 @@ from fotoloom.functions.naming import theme
 from fotoloom.functions.tags import catalog_tags, excluded, mentions, primary_tag
 from fotoloom.functions.times import micros
 from fotoloom.functions.vectors import catalog_vector, cosine
+from fotoloom.scratch import materialize
 
 EPISODE = ("taken_date", "episode")
 
@@ -78,7 +80,12 @@ def bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
     )
 
 
-def _unit(v) -> np.ndarray | None:
+#: Episodes that one call of a fold receives at most; fewer calls, same results.
+EPISODES_PER_CALL = 64
+
+
+def _direction(v) -> np.ndarray | None:
+    """At length 1 in double; null for null, empty and zero vectors."""
     if v is None or not len(v):
         return None
     x = np.asarray(v, np.float64)
@@ -86,22 +93,25 @@ def _unit(v) -> np.ndarray | None:
     return x / n if n > 0 else None
 
 
-def _similarity(a, b) -> float:
-    """Cosine over the shorter length; 0 for null, empty or zero vectors."""
-    if a is None or b is None or not len(a) or not len(b):
+def _similarity(a: tuple, b: tuple) -> float:
+    """Cosine over the shorter length of (vector, direction) pairs; 0 for null, empty or zero vectors."""
+    if a[0] is None or b[0] is None or not len(a[0]) or not len(b[0]):
         return 0.0
-    n = min(len(a), len(b))
-    x, y = _unit(a[:n]), _unit(b[:n])
+    if len(a[0]) == len(b[0]):
+        return 0.0 if a[1] is None or b[1] is None else float(a[1] @ b[1])
+    n = min(len(a[0]), len(b[0]))
+    x, y = _direction(a[0][:n]), _direction(b[0][:n])
     return 0.0 if x is None or y is None else float(x @ y)
 
 
 def keep_best(vectors: list, scores: list[float], similarity: float) -> list[int]:
     """The slots of a greedy pass: each photo duplicates the first retained one that it resembles and takes its slot if it
     scores higher; else it gets a slot of its own."""
+    pairs = [(v, _direction(v)) for v in vectors]
     kept: list[int] = []
-    for k, v in enumerate(vectors):
+    for k, v in enumerate(pairs):
         for slot, r in enumerate(kept):
-            if _similarity(v, vectors[r]) >= similarity:
+            if _similarity(v, pairs[r]) >= similarity:
                 if scores[k] > scores[r]:
                     kept[slot] = k
                 break
@@ -111,21 +121,24 @@ def keep_best(vectors: list, scores: list[float], similarity: float) -> list[int
 
 
 def deduplicate_bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
-    """One photo per group of near-equal ones in a burst; adds `slot`. Single photos never leave the JVM."""
-    burst = Window.partitionBy(*EPISODE, "burst")
-    sized = photos.withColumn("_size", F.count(F.lit(1)).over(burst))
-    lone = sized.where("_size = 1").withColumn("slot", F.lit(0)).drop("_size")
-    pair = sized.where("_size > 1").drop("_size")
+    """One photo per group of near-equal ones in a burst; adds `slot`. Bursts of one pass through the fold untouched: a
+    branch of their own would compute everything before it twice."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date_taken", "id"], kind="stable").reset_index(drop=True)
-        kept = keep_best(pdf["feature_vector"].tolist(), pdf["score"].tolist(), cfg.duplicate_similarity)
-        out = pdf.iloc[kept].copy()
-        out["slot"] = np.arange(len(kept), dtype=np.int32)
-        return out
-
-    schema = pair.withColumn("slot", F.lit(0)).schema
-    return lone.unionByName(pair.groupBy(*EPISODE, "burst").applyInPandas(fold, schema))
+        pdf = pdf.sort_values(["episode", "burst", "date_taken", "id"], kind="stable").reset_index(drop=True)
+        vectors, scores = pdf["feature_vector"].tolist(), pdf["score"].tolist()
+        take, slots = [], []
+        for at in pdf.groupby(["episode", "burst"], sort=False).indices.values():
+            kept = keep_best([vectors[k] for k in at], [scores[k] for k in at], cfg.duplicate_similarity) if len(at) > 1 else [0]
+            take += [at[k] for k in kept]
+            slots += range(len(kept))
+        out = pdf.iloc[take].copy()
+        out["slot"] = np.array(slots, np.int32)
+        return out.drop(columns="_call")
+
+    schema = photos.withColumn("slot", F.lit(0)).schema
+    called = photos.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}"))
+    return called.groupBy("taken_date", "_call").applyInPandas(fold, schema)
 
 
 def within_quota(photos: DataFrame, cfg: CurationConfig = DEFAULTS, position: tuple[str, ...] = ("date_taken", "burst", "slot", "id")) -> DataFrame:
@@ -161,6 +174,8 @@ def _capacity(page: list[dict], cfg: CurationConfig) -> int:
 
 def paginate(photos: list[dict], cfg: CurationConfig = DEFAULTS) -> list[list[dict]]:
     """One episode's photos, in order, as pages. A photo has `kind`, `tags`, `vector`, `sharpness_score`, `face_count`."""
+    for p in photos:
+        p["direction"] = _direction(p["vector"])
     pages: list[list[dict]] = []
     page: list[dict] = []
     for p in photos:
@@ -168,7 +183,8 @@ def paginate(photos: list[dict], cfg: CurationConfig = DEFAULTS) -> list[list[di
             kinds = {q["kind"] for q in page} | {p["kind"]}
             full = len(kinds) > cfg.max_kinds_per_page or len(page) >= _capacity(page, cfg)
             if not full and p["vector"] is not None and len(p["vector"]) and len(page) >= 2:
-                sims = [_similarity(p["vector"], q["vector"]) for q in page if q["vector"] is not None]
+                mine = (p["vector"], p["direction"])
+                sims = [_similarity(mine, (q["vector"], q["direction"])) for q in page if q["vector"] is not None]
                 full = (sum(sims) / len(sims) if sims else 1.0) < cfg.page_min_similarity
             if full:
                 pages.append(page)
@@ -185,20 +201,23 @@ def episode_pages(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFram
     """`taken_date`, `episode`, `page_in_episode`, `photo_index` (both from 1), `photo_id`, `kind`."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date_taken", "rank"], kind="stable")
+        pdf = pdf.sort_values(["episode", "date_taken", "rank"], kind="stable").reset_index(drop=True)
         rows = [
-            {"id": i, "kind": k, "tags": list(t), "vector": v, "sharpness_score": s, "face_count": f}
+            {"id": i, "kind": k, "tags": t, "vector": v, "sharpness_score": s, "face_count": f}
             for i, k, t, v, s, f in zip(pdf["id"], pdf["kind"], pdf["tags"], pdf["feature_vector"], pdf["sharpness_score"], pdf["face_count"])
         ]
-        out = [(n, k, p["id"], p["kind"]) for n, page in enumerate(paginate(rows, cfg), 1) for k, p in enumerate(page, 1)]
-        out = pd.DataFrame(out, columns=["page_in_episode", "photo_index", "photo_id", "kind"])
-        out.insert(0, "episode", pdf["episode"].iloc[0])
+        out = []
+        for episode, at in pdf.groupby("episode", sort=False).indices.items():
+            for n, page in enumerate(paginate([rows[k] for k in at], cfg), 1):
+                out += [(episode, n, k, p["id"], p["kind"]) for k, p in enumerate(page, 1)]
+        out = pd.DataFrame(out, columns=["episode", "page_in_episode", "photo_index", "photo_id", "kind"])
         out.insert(0, "taken_date", pdf["taken_date"].iloc[0])
         return out
 
     slim = photos.select(*EPISODE, "date_taken", "rank", "id", primary_tag("tags").alias("kind"), "tags", "feature_vector", "sharpness_score", "face_count")
     id_type = photos.schema["id"].dataType.simpleString()
-    return slim.groupBy(*EPISODE).applyInPandas(fold, f"taken_date date, episode int, page_in_episode int, photo_index int, photo_id {id_type}, kind string")
+    called = slim.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}"))
+    return called.groupBy("taken_date", "_call").applyInPandas(fold, f"taken_date date, episode int, page_in_episode int, photo_index int, photo_id {id_type}, kind string")
 
 
 def number_pages(pages: DataFrame) -> DataFrame:
@@ -221,7 +240,8 @@ def selected_photos(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFr
 
 def album(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
     """One row per photo of the album: `page_number`, `photo_index`, `photo_id`, `kind`, `taken_date`, `episode`."""
-    return number_pages(episode_pages(selected_photos(photos, cfg), cfg)).select("page_number", "photo_index", "photo_id", "kind", "taken_date", "episode")
+    pages = materialize(episode_pages(selected_photos(photos, cfg), cfg), "pages")  # narrow rows, read three times below
+    return number_pages(pages).select("page_number", "photo_index", "photo_id", "kind", "taken_date", "episode")
 
 
 def page_summary(album_rows: DataFrame) -> DataFrame:

@@ -59,13 +59,14 @@ def sessions(
     if gap < 0:
         raise ValueError("the gap is negative")
     cell = max(1, gap // cells_per_gap)
-    reach = gap // cell - 1  # events that many cells apart are surely within the gap
+    reach = min(gap if cell == 1 else gap // cell - 1, WORD - 2)  # events that many cells apart are surely within the gap
     moment = events.select(
         F.col(entity).alias("_e"), micros(time).alias("_t"), F.col(row_id).alias("_i")
     ).where("_e is not null and _t is not null and _i is not null")
 
     cells = (
-        moment.withColumn("_c", F.floor(F.col("_t") / F.lit(cell)) if cell == 1 else F.expr(f"_t div {cell} - if(_t % {cell} < 0, 1, 0)"))
+        # Neighbouring cells always form a run, so without any gap only every other cell is used.
+        moment.withColumn("_c", F.col("_t") * 2 if gap == 0 else F.expr(f"_t div {cell} - if(_t % {cell} < 0, 1, 0)"))
         .groupBy("_e", "_c")
         .agg(F.min(F.struct("_t", "_i")).alias("_first"), F.max(F.struct("_t", "_i")).alias("_last"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_w", F.shiftright("_c", 6))

@@ -1,75 +1,117 @@
 """Zero-shot tagging of image vectors against a vocabulary of categories.
 
-The vocabulary is broadcast only where its rows are counted to be few (`MOST_CATEGORIES`); it is the stated side of the
-product and does not grow with the photos.
+The vocabulary goes to every task as a matrix; it is refused beyond `MOST_CATEGORIES` rows and does not grow with the
+photos. Scoring is a matrix product over Arrow batches: the same expression over array columns would interpret a lambda
+per component and pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotoloom.config import DEFAULTS, CurationConfig
 from fotoloom.functions.tags import catalog_tags, with_person, without_synonyms
-from fotoloom.functions.vectors import catalog_vector, dot, probability, unit
+from fotoloom.functions.vectors import catalog_vector
 
 MOST_CATEGORIES = 5_000
 
 
+class _Vocabulary:
+    """The categories as a matrix, with their valid tags in order; "Other" is no valid tag."""
+
+    def __init__(self, categories: DataFrame):
+        rows = categories.where("category_idx is not null").select("category_idx", "tags", "embedding").orderBy("category_idx").limit(MOST_CATEGORIES + 1).collect()
+        if len(rows) > MOST_CATEGORIES:
+            raise ValueError(f"more than {MOST_CATEGORIES} categories")
+        self.index = np.array([r.category_idx for r in rows], np.int64)
+        self.size = np.array([len(r.embedding or []) for r in rows], np.int64)
+        self.matrix = np.zeros((len(rows), int(self.size.max(initial=0))), np.float32)
+        for k, r in enumerate(rows):
+            self.matrix[k, : self.size[k]] = [x or 0.0 for x in r.embedding or []]
+        self.tags = [[(k * 1_000_000 + i, t) for i, t in enumerate(r.tags or []) if t and t != "Other"] for k, r in enumerate(rows)]
+
+    def fallback(self, k: int) -> list[str]:
+        """A category's own tags, each once, letter case ignored."""
+        return list({t.lower(): t for _, t in reversed(self.tags[k])}.values())[::-1]
+
+    def passing(self, scores: np.ndarray, least: np.float32) -> list[str]:
+        best: dict[str, tuple[float, int, str]] = {}
+        for k in np.flatnonzero(scores >= least):
+            for place, tag in self.tags[k]:
+                p, first, spelling = best.get(tag.lower(), (-1.0, place, tag))
+                best[tag.lower()] = (max(p, float(scores[k])), first, spelling)
+        return [t for _, _, t in sorted(best.values(), key=lambda x: (-x[0], x[1]))]
+
+    def scores(self, rows: np.ndarray, cfg: CurationConfig) -> np.ndarray:
+        """Probabilities, a row per vector (equal lengths): products in single precision, sums in double."""
+        norm = np.sqrt((rows * rows).astype(np.float64).sum(1))
+        unit = np.where(norm[:, None] > 0, rows / np.where(norm > 0, norm, 1)[:, None], rows).astype(np.float32)
+        n = min(rows.shape[1], self.matrix.shape[1])
+        dots = np.empty((len(rows), len(self.index)))
+        for at in range(0, len(rows), 128):
+            dots[at : at + 128] = (unit[at : at + 128, None, :n] * self.matrix[None, :, :n]).sum(2, dtype=np.float64)
+        scale, bias = np.exp(np.float64(np.float32(cfg.logit_scale))), np.float64(np.float32(cfg.logit_bias))
+        return (1 / (1 + np.exp(-(dots * scale + bias)))).astype(np.float32)
+
+
+def _by_length(column: pa.Array):
+    """Usable vectors of a batch, grouped by length: (rows of the batch, matrix)."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False), np.asarray(column.offsets)
+    sizes = np.diff(offsets)
+    ok = np.asarray(column.is_valid()) & (sizes > 0)
+    for n in np.unique(sizes[ok]):
+        at = np.flatnonzero(ok & (sizes == n))
+        m = flat[offsets[:-1][at][:, None] + np.arange(n)]
+        whole = ~np.isnan(m).any(1)
+        if whole.any():
+            yield at[whole], m[whole]
+
+
 def category_scores(vectors: DataFrame, categories: DataFrame, cfg: CurationConfig = DEFAULTS, row_id: str = "id", vector: str = "feature_vector") -> DataFrame:
-    """`row_id`, `category_idx`, `p`: each usable vector's probability under each category. An empty or null embedding
-    scores as a zero vector; a null index is no category."""
-    side = categories.where("category_idx is not null").select("category_idx", F.coalesce("embedding", F.array().cast("array<float>")).alias("_e"))
-    if side.count() <= MOST_CATEGORIES:
-        side = F.broadcast(side)
-    rows = vectors.select(row_id, unit(catalog_vector(vector)).alias("_v")).where("_v is not null")
-    e = F.transform("_e", lambda x: F.coalesce(x, F.lit(0).cast("float")))
-    return rows.join(side, F.lit(True)).select(row_id, "category_idx", probability(dot("_v", e, single=True), cfg.logit_scale, cfg.logit_bias).alias("p"))
-
-
-def category_tags(categories: DataFrame) -> DataFrame:
-    """`category_idx`, `ord` (place in the vocabulary), `tag` of every valid tag; "Other" is none."""
-    return (
-        categories.where("category_idx is not null")
-        .select("category_idx", F.posexplode("tags").alias("_i", "tag"))
-        .where(F.col("tag").isNotNull() & (F.col("tag") != "") & (F.col("tag") != "Other"))
-        .select("category_idx", (F.col("category_idx").cast("long") * 1_000_000 + F.col("_i")).alias("ord"), "tag")
-    )
+    """`row_id`, `category_idx`, `p`: each usable vector's probability under each category. An empty or null embedding scores
+    as a zero vector, a null component as 0; a null index is no category; unusable vectors have no scores."""
+    words = _Vocabulary(categories)
+    slim = vectors.select(row_id, F.col(vector).cast("array<float>").alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, m in _by_length(b.column(1)):
+                p = words.scores(m, cfg)
+                k = p.shape[1]
+                ids = b.column(0).take(pa.array(np.repeat(at, k)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(words.index, len(at)).astype(np.int32)), pa.array(p.ravel())], names=[row_id, "category_idx", "p"])
+
+    kind = slim.schema[row_id].dataType.simpleString()
+    return slim.mapInArrow(run, f"`{row_id}` {kind}, category_idx int, p float")
 
 
 def zero_shot_tags(vectors: DataFrame, categories: DataFrame, cfg: CurationConfig = DEFAULTS, row_id: str = "id", vector: str = "feature_vector") -> DataFrame:
     """`row_id`, `tags`, `confidence` of every row. A tag's score is its best category's, letter case ignored, in the
     spelling first met; tags from the threshold on stand by score, then place. If none passes, the tags of the best category
-    stand (the lowest index on ties); if nothing is left, or there is no usable vector, "Other"."""
-    scores = category_scores(vectors, categories, cfg, row_id, vector)
-    # The best category of each row, and every category that can contribute a tag; all others go before any shuffle.
-    best = scores.groupBy(row_id).agg(F.min(F.struct((-F.col("p")).alias("n"), "category_idx", "p")).alias("_b"))
-    best = best.select(row_id, F.col("_b.category_idx").alias("_best"), F.least(F.greatest(F.col("_b.p"), F.lit(0).cast("float")), F.lit(1).cast("float")).alias("confidence"))
-    tag = F.broadcast(category_tags(categories))  # of at most MOST_CATEGORIES categories, or as many as category_scores counted
-    passing = (
-        scores.where(F.col("p") >= F.lit(cfg.tag_min_probability).cast("float"))
-        .join(tag, "category_idx")
-        .groupBy(row_id, F.lower("tag").alias("_t"))
-        .agg(F.max("p").alias("_p"), F.min(F.struct("ord", "tag")).alias("_f"))
-        .groupBy(row_id)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_p")).alias("n"), F.col("_f.ord").alias("ord"), F.col("_f.tag").alias("tag")))).alias("_l"))
-        .select(row_id, F.transform("_l", lambda s: s["tag"]).alias("_passing"))
-    )
-    once = Window.partitionBy("category_idx", F.lower("tag")).orderBy("ord")
-    fallback = (
-        category_tags(categories)
-        .withColumn("_n", F.row_number().over(once))
-        .where("_n = 1")
-        .groupBy("category_idx")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "tag"))), lambda s: s["tag"]).alias("_fallback"))
-    )
-    empty = F.array().cast("array<string>")
-    found = vectors.select(row_id).join(best, row_id, "left").join(passing, row_id, "left")
-    found = found.join(F.broadcast(fallback), F.col("_best") == F.col("category_idx"), "left")
-    tags = without_synonyms(F.coalesce("_passing", "_fallback", empty))
-    return found.select(
-        row_id, F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("Other"))).alias("tags"), F.coalesce(F.col("confidence"), F.lit(0).cast("float")).alias("confidence")
-    )
+    stand (the lowest index on ties); if nothing is left, or there is no usable vector, "Other". Nothing is shuffled."""
+    words = _Vocabulary(categories)
+    slim = vectors.select(row_id, F.col(vector).cast("array<float>").alias("_v"))
+    least = np.float32(cfg.tag_min_probability)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tags: list[list[str]] = [[] for _ in range(b.num_rows)]
+            confidence = np.zeros(b.num_rows, np.float32)
+            for at, m in _by_length(b.column(1)) if len(words.index) else ():
+                for row, p in zip(at, words.scores(m, cfg)):
+                    best = int(p.argmax())
+                    confidence[row] = min(max(p[best], 0.0), 1.0)
+                    tags[row] = words.passing(p, least) or words.fallback(best)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tags, pa.list_(pa.string())), pa.array(confidence)], names=[row_id, "_t", "confidence"])
+
+    kind = slim.schema[row_id].dataType.simpleString()
+    found = slim.mapInArrow(run, f"`{row_id}` {kind}, _t array<string>, confidence float").withColumn("_t", without_synonyms("_t"))
+    return found.select(row_id, F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.array(F.lit("Other"))).alias("tags"), "confidence")
 
 
 def analysis_route() -> Column:

@@ -96,9 +96,10 @@ def tags_roundtrip(spark, folder):
 
 
 def vector_roundtrip(spark, folder):
-    v = T.vector_from_text(T.vector_to_text(catalog_vector("feature_vector")))
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return _photos(spark, folder).select("id", F.coalesce(F.size(v), F.lit(0)).alias("components"), F.round(total, 6).alias("total"))
+    stored = _photos(spark, folder).select("id", T.vector_to_text(catalog_vector("feature_vector")).alias("text"))
+    read = stored.select("id", T.vector_from_text("text").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return read.select("id", F.coalesce(F.size("v"), F.lit(0)).alias("components"), F.round(total, 6).alias("total"))
 
 
 def cosine_pairs(spark, folder):
@@ -196,8 +197,8 @@ WITH v AS (SELECT id, date_taken, {VECTOR} AS v FROM photos),
   b AS (SELECT id, v, lag(id) OVER w AS before, lag(v) OVER w AS u FROM v WINDOW w AS (PARTITION BY date_taken::DATE ORDER BY date_taken, id))
 SELECT id, before, round({_cosine("v", "u")}, 6) AS similarity FROM b WHERE before IS NOT NULL""",
     "export_manifest": f"""
-SELECT file_path AS source, '{TARGET}/Page_' || lpad(page_number::VARCHAR, greatest(3, len(page_number::VARCHAR)), '0') || '_' || {_SAFE.format("theme")} || '/'
-  || lpad(page_number::VARCHAR, greatest(3, len(page_number::VARCHAR)), '0') || '_' || lpad(photo_index::VARCHAR, greatest(2, len(photo_index::VARCHAR)), '0') || '_' || file_name AS target
+SELECT file_path AS source, '{TARGET}/Page_' || lpad(page_number::VARCHAR, greatest(3, len(page_number::VARCHAR))::INTEGER, '0') || '_' || {_SAFE.format("theme")} || '/'
+  || lpad(page_number::VARCHAR, greatest(3, len(page_number::VARCHAR))::INTEGER, '0') || '_' || lpad(photo_index::VARCHAR, greatest(2, len(photo_index::VARCHAR))::INTEGER, '0') || '_' || file_name AS target
 FROM (SELECT DISTINCT page_number, photo_index, coalesce(theme, 'Collection') AS theme, photo_id FROM album_photos) a JOIN photos p ON p.id = a.photo_id""",
     "favorites_export": f"""SELECT id, file_path AS source, '{TARGET}/' || file_name AS target, row_number() OVER (PARTITION BY file_name ORDER BY id) = 1 AS copied
 FROM photos WHERE is_favorite""",
