@@ -177,12 +177,19 @@ class Scorer:
         key = out[:2] if out[1:2] == ":" else (out if out in self._by_word else "")
         return out, key
 
+    def _joined(self, m: re.Match) -> str:
+        """Spelled-out letters as a word; a first letter that is a word of its own ("a m o r o n") may stand apart."""
+        word = re.sub(r"[ ._\-*]", "", m.group(0))
+        if m.group(1) == " " and len(word) > 3 and not self._match(word)[1] and self._match(word[1:])[1]:
+            return f"{word[0]} {word[1:]}"
+        return word
+
     def tokens(self, line: str) -> tuple[list[str], set[str]]:
         if not line.isascii():
             line = unicodedata.normalize("NFKC", line.translate(_INVISIBLE))
         if "&" in line:
             line = html.unescape(line).replace(" ", " ")
-        line = _SPELLED.sub(lambda m: re.sub(r"[ ._\-*]", "", m.group(0)), line.lower())
+        line = _SPELLED.sub(self._joined, line.lower())
         known, out, keys = self._known, [], set()
         if "'" in line or "’" in line:
             line = _CONTRACTED.sub("", line).replace("'", " ").replace("’", " ")

@@ -114,7 +114,7 @@ def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int):
             held.clear()
             x = unit_rows(x).astype(np.float32)
             keys, sketches = sign(x)
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for key in keys:
                 order = np.lexsort((t, key))
                 for d in (1, 2):

@@ -95,7 +95,8 @@ def fill_containers(
     fill a container meet nothing. Defined results: null and negative sizes count as 0; items of size 0 take no space but
     stand in a container; a null cluster or source conflicts with nothing, and items of size 0 have no cluster; repeated
     rows are items of their own; an empty table gives no containers; other columns are ignored. The result is the same
-    for the same rows and parameters in any order of rows (but for which of two equal rows comes first).
+    for the same rows and parameters in any order of rows, but for which of two equal rows comes first and for the names of the
+    containers that one piece fills, which are only unique.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
