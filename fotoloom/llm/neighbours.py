@@ -29,7 +29,7 @@ from fotoloom.scratch import materialize
 
 SAMPLE = 10_240
 PILOTS = 192
-QUERY_BLOCK = 32_768
+QUERY_BLOCK = 16_384
 MAX_PARTS = 128
 ROWS_PER_PART = 64  # of the sample, at least
 CHUNK = 32_768
@@ -164,7 +164,7 @@ class _Best:
         if len(i):
             self.parts.append((q[i], sims[i, j], ids[j], rows[j]))
             self.pending += len(i)
-            if self.pending > 64 * self.keep * max(self.queries, 512):
+            if self.pending > max(6 * self.keep * self.queries, 500_000):
                 self.settle()
 
     def settle(self) -> None:
@@ -201,8 +201,7 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
                 return
             x, i = np.vstack(rows), np.concatenate(ids)
             ids, rows, held = [], [], 0
-            x = unit_rows(x)
-            x32 = x.astype(np.float32)
+            x32 = unit_rows(x).astype(np.float32)
             home = model.home(x32)
             order = np.argsort(home, kind="stable")
             ends = np.flatnonzero(np.diff(home[order])) + 1
@@ -214,9 +213,11 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
                     best.add(qs, single[qs] @ x32[group].T, i[group], group.astype(np.int64) + (base << 32))
             best.settle()
             # Only rows that some query keeps are remembered, with their vectors and parts.
+            found.append((np.arange(len(x)), x, home))
             now = np.unique(best.parts[0][3]) if best.parts else np.zeros(0, np.int64)
-            mine = now[now >> 32 == base] & 0xFFFFFFFF
-            found.append((mine, x[mine], home[mine]))
+            for k, (mine, v, h) in enumerate(found):
+                at = np.searchsorted(mine, now[now >> 32 == k] & 0xFFFFFFFF)
+                found[k] = (mine[at], v[at], h[at])
 
         for batch in batches:
             ok, m = usable_matrix(batch.column(1), dim)
@@ -233,7 +234,9 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
             for base, (mine, x, home) in enumerate(found):
                 here = np.flatnonzero(r >> 32 == base)
                 at = np.searchsorted(mine, r[here] & 0xFFFFFFFF)
-                sim[here] = np.einsum("ij,ij->i", double[q[here]], x[at])
+                for p in range(0, len(here), 16_384):
+                    h, a = here[p : p + 16_384], at[p : p + 16_384]
+                    sim[h] = np.einsum("ij,ij->i", double[q[h]], unit_rows(x[a]))
                 part[here] = home[at]
             mask = i != own[q]
             yield pa.RecordBatch.from_arrays([pa.array(a[mask]) for a in (q.astype(np.int32), i, sim, part)], names=["q", "id", "sim", "part"])
