@@ -9,7 +9,7 @@ from fotoloom.config import EXCLUDED_TAGS
 from fotoloom.functions.tags import catalog_tags
 from fotoloom.operators import album, detection, tagging
 from fotoloom.plans.gallery_queries import CLEAN, VECTOR, _cosine, _without_synonyms
-from fotoloom.sources.tables import table
+from fotoloom.sources.tables import spread, table
 
 
 def _photos(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,12 +58,12 @@ def album_page_summary(spark, folder):
 
 
 def zero_shot_scores(spark, folder):
-    found = tagging.category_scores(_photos(spark, folder), table(spark, folder, "categories"))
+    found = tagging.category_scores(spread(_photos(spark, folder), "id"), table(spark, folder, "categories"))
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("categories"), F.round(F.max("p").cast("double"), 4).alias("best"), F.round(F.sum(F.col("p").cast("double")), 3).alias("total"))
 
 
 def zero_shot_tags(spark, folder):
-    found = tagging.zero_shot_tags(_photos(spark, folder), table(spark, folder, "categories"))
+    found = tagging.zero_shot_tags(spread(_photos(spark, folder), "id"), table(spark, folder, "categories"))
     return found.select("id", F.array_join("tags", "|").alias("tags"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
 
 
@@ -72,7 +72,7 @@ def analysis_route(spark, folder):
 
 
 def analyze_photos(spark, folder):
-    found = tagging.analyze(_photos(spark, folder), table(spark, folder, "categories"))
+    found = tagging.analyze(spread(_photos(spark, folder), "id"), table(spark, folder, "categories"))
     return found.select("id", "is_analyzed", F.array_join("tags", "|").alias("tags"))
 
 

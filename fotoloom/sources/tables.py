@@ -7,3 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan dealt over all cores where its files make fewer tasks than there are cores, for work that is heavy per row.
+
+    Large tables have more splits than a cluster has cores and stay as they are; a file of one row group is one task else.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, key)
