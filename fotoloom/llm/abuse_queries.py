@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fotoloom.llm.abuse import score_documents, source_rates
-from fotoloom.sources.tables import table
+from fotoloom.sources.tables import spread, table
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return score_documents(spread(table(spark, folder, "documents"), "doc_id"), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +17,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return source_rates(score_documents(table(spark, folder, "documents"), "doc_id", "text", "source"), "source")
+    return source_rates(score_documents(spread(table(spark, folder, "documents"), "doc_id"), "doc_id", "text", "source"), "source")
 
 
 QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fotoloom.llm.clusters import complete_clusters, medoid_clusters, verified_records
 from fotoloom.operators.canonical import drop_reimports, valid_date
-from fotoloom.sources.tables import table
+from fotoloom.sources.tables import spread, table
 
 MIN_SIMILARITY = 0.85
 MAX_DAYS = 30
@@ -16,7 +16,7 @@ LEAST = 3
 
 
 def _verified(spark: SparkSession, folder: str) -> DataFrame:
-    photos = drop_reimports(table(spark, folder, "photos")).where(valid_date()).select("id", "date_taken", "feature_vector")
+    photos = drop_reimports(spread(table(spark, folder, "photos"), "id")).where(valid_date()).select("id", "date_taken", "feature_vector")
     return verified_records(photos, "id", "date_taken", "feature_vector", MIN_SIMILARITY, MAX_DAYS, DIM)
 
 

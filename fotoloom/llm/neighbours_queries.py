@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fotoloom.llm.neighbours import nearest
 from fotoloom.operators.canonical import drop_reimports
-from fotoloom.sources.tables import table
+from fotoloom.sources.tables import spread, table
 
 TOP_K = 10
 DIM = 128
@@ -15,7 +15,7 @@ QUERY_STEP = 20
 
 
 def _photos(spark: SparkSession, folder: str) -> DataFrame:
-    return drop_reimports(table(spark, folder, "photos")).select("id", "feature_vector")
+    return drop_reimports(spread(table(spark, folder, "photos"), "id")).select("id", "feature_vector")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from fotoloom.llm.encoding import token_counts
 from fotoloom.llm.packing import fill_containers
-from fotoloom.sources.tables import table
+from fotoloom.sources.tables import spread, table
 
 CAPACITY = 2048
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of a text never share a container."""
-    documents = table(spark, folder, "documents").select(
+    documents = spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", "text", F.lower(F.btrim("source")).alias("source"), F.xxhash64("text").alias("copies")
     )
     sized = token_counts(documents, "doc_id", "text", "source", "copies")
