@@ -5,7 +5,7 @@ Defined results: null flags count as false and null face counts as 0; a null pat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotoloom.config import IMAGE_SUFFIXES
@@ -60,7 +60,9 @@ def new_files(files: DataFrame, catalog: DataFrame, path: str = "file_path") ->
 
 def favorites_manifest(photos: DataFrame, target: str) -> DataFrame:
     """`source`, `target`, `copied` of every favorite: of equal file names only the first (by id) is copied, all count."""
-    order = Window.partitionBy("file_name").orderBy("id")
-    return favorites(photos).select(
-        "id", F.col("file_path").alias("source"), F.concat_ws("/", F.lit(target), "file_name").alias("target"), (F.row_number().over(order) == 1).alias("copied")
+    chosen = favorites(photos).select("id", "file_path", "file_name")
+    # Combined before the shuffle, so that a name which many cameras give fills no single task.
+    first = chosen.groupBy(F.col("file_name").alias("_name")).agg(F.min("id").alias("_first"))
+    return chosen.join(first, F.col("file_name").eqNullSafe(F.col("_name"))).select(
+        "id", F.col("file_path").alias("source"), F.concat_ws("/", F.lit(target), "file_name").alias("target"), (F.col("id") == F.col("_first")).alias("copied")
     )
