@@ -18,6 +18,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ def _compile(turn: str) -> re.Pattern:
     return re.compile(rf"(?<= )(?:{turn})(?![^\s])" if not turn.endswith((":", " ")) else rf"(?<= )(?:{turn})")
 
 
-#: Words too common to look into a line for.
+#: Common words: a line is looked into for one of these only where a way through a turn has no other word.
 _COMMON = set(
     """
     a all alle am an and any anyone anywhere are as at back be been being big biggest black border both building but by can country das den
@@ -119,6 +120,45 @@ _COMMON = set(
 )
 
 
+def _keys(pattern: str) -> set[str]:
+    """Words, or classes such as "i:", of which every match of a pattern over tokens holds one; "" if a match may hold none.
+
+    Runs through all ways of the pattern at once; a way is its best key so far and the token it is within, \\0 in a token
+    being anything.
+    """
+
+    def closed(way: tuple[str, str]) -> tuple[str, str]:
+        best, token = way
+        token = token[:2] if token[1:2] == ":" and token[0] != "\0" else "" if "\0" in token else token
+        return max(best, token, key=lambda t: (bool(t), t not in _COMMON, len(t), t)), ""
+
+    def char(ways: set[tuple[str, str]], c: str) -> set[tuple[str, str]]:
+        return {closed(w) for w in ways} if c == " " else {(best, token + c) for best, token in ways}
+
+    def run(ways: set[tuple[str, str]], nodes) -> set[tuple[str, str]]:
+        for op, value in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                ways = char(ways, chr(value))
+            elif name == "IN":
+                parts = [chr(v) if str(o) == "LITERAL" else " " if str(v) == "CATEGORY_SPACE" else "\0" for o, v in value]
+                ways = set().union(*(char(ways, c) for c in parts))
+            elif name == "BRANCH":
+                ways = set().union(*(run(ways, b) for b in value[1]))
+            elif name == "SUBPATTERN":
+                ways = run(ways, value[3])
+            elif name == "MAX_REPEAT":
+                least, most, body = value
+                once = run(ways, body)
+                more = run(char(once, "\0"), body) if most > 1 else set()
+                ways = (ways if not least else set()) | once | more
+            elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
+                raise ValueError(f"a turn with {name}: {pattern}")
+        return ways
+
+    return {closed(w)[0] for w in run({("", "")}, _parser.parse(pattern))}
+
+
 class Scorer:
     def __init__(self, vocabulary: str | None = None):
         from fotoloom.llm.encoding import default_vocabulary, encoder
@@ -136,15 +176,13 @@ class Scorer:
         self._single = Trie({_DOUBLED.sub(r"\1", w): v for w, v in named.items()})
         self._turns = [(_compile(fold(t)), w) for t, w in TURNS]
         self._by_word: dict[str, list[int]] = defaultdict(list)
-        self.loose: list[str] = []
-        for k, (t, _) in enumerate(TURNS):
-            t = fold(t).replace("(?:", "(")
-            keys = {w for w in re.findall(r"(?<![\w:\\<])[^\W\d_]+(?![\w:])", re.sub(r"\[[^\]]*\]|[isja]:", " ", t.replace("\\S", " ").replace("\\s", " ").replace("\\w", " "))) if w not in _COMMON}
-            keys |= {f"{c}:" for c in "ijas" if f"{c}:" in t or (f"<{c}" in t and c != "a") or (c == "j" and "<ij>" in t) or (c == "a" and "<a>" in t)}
-            if not keys:
-                self.loose.append(t)
-            for w in keys:
-                self._by_word[w].append(k)
+        self.loose: list[int] = []  # turns that are tried on every line
+        for k, (turn, _) in enumerate(self._turns):
+            for w in _keys(turn.pattern):
+                if w:
+                    self._by_word[w].append(k)
+                else:
+                    self.loose.append(k)
         self._anywhere = [(p, w) for p, w in ANYWHERE]
         self._anywhere_any = re.compile("|".join(re.escape(p) for p, _ in ANYWHERE))
         self._known: dict[str, tuple[str, str]] = {}
@@ -205,8 +243,8 @@ class Scorer:
                 keys.add(pair[1])
         return out, keys
 
-    def hits(self, line: str) -> list[tuple[str, float]]:
-        """The turns found in a line with their weights in their context."""
+    def hits(self, line: str, indexed: bool = True) -> list[tuple[str, float]]:
+        """The turns found in a line with their weights in their context. indexed: try only the turns a key of which it holds."""
         found: list[tuple[str, float]] = []
         if not line.isascii():
             bare = unicodedata.normalize("NFKC", line.translate(_INVISIBLE))
@@ -217,9 +255,13 @@ class Scorer:
                         inside = bare.count("「", 0, at) > bare.count("」", 0, at) or bare.count("『", 0, at) > bare.count("』", 0, at)
                         found.append((p, w * (QUOTED if inside else 1)))
         tokens, keys = self.tokens(line)
-        if keys:
+        if indexed:
+            turns = sorted({*self.loose, *(k for key in keys for k in self._by_word.get(key, ()))})
+        else:
+            turns = list(range(len(self._turns)))
+        if turns:
             flat = " " + " ".join(tokens) + " "
-            for k in sorted({k for key in keys for k in self._by_word.get(key, ())}):
+            for k in turns:
                 pattern, weight = self._turns[k]
                 for m in pattern.finditer(flat):
                     before = flat[: m.start()].split()

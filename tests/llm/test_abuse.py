@@ -1,3 +1,6 @@
+import random
+from re import _parser
+
 import pytest
 
 from fotoloom.llm.abuse import THRESHOLD, scorer, score_documents, source_rates
@@ -45,3 +48,39 @@ def test_agrees_with_the_raters(spark, small):
     # Raters err now and then: agreement is bounded by that, not by the scorer.
     assert (both.abusive == (both.said == 1)).mean() > 0.9
     assert (both[both.abusive].said == 1).mean() > 0.95
+
+
+@pytest.mark.parametrize("text", ["Jump off the bridge", "jump off the roof", "You will not see tomorrow", "You will not see spring", "Next time you die", "someone should set his car alight"])
+def test_turns_of_common_words(text):
+    assert scorer().score(text) >= THRESHOLD
+
+
+def _said(nodes, rng):
+    """A line that goes one way through a pattern."""
+    out = ""
+    for op, value in nodes:
+        match str(op):
+            case "LITERAL":
+                out += chr(value)
+            case "IN":
+                o, v = rng.choice(value)
+                out += chr(v) if str(o) == "LITERAL" else " " if str(v) == "CATEGORY_SPACE" else "q"
+            case "BRANCH":
+                out += _said(rng.choice(value[1]), rng)
+            case "SUBPATTERN":
+                out += _said(value[3], rng)
+            case "MAX_REPEAT":
+                out += "".join(_said(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+    return out
+
+
+def test_index_loses_no_turn():
+    s, rng, found = scorer(), random.Random(7), 0
+    words = {c: next(w for w, k in s._class.items() if k == c and len(w) > 4) for c in "ijas"}
+    for pattern, _ in s._turns:
+        for _ in range(300):
+            line = _said(_parser.parse(pattern.pattern), rng).strip()
+            line = " ".join((words[t[0]] if set(t[2:]) <= {"q"} else t[2:]) if t[1:2] == ":" else t for t in line.split())
+            assert s.hits(line) == s.hits(line, indexed=False), line
+            found += bool(s.hits(line))
+    assert found > 30_000
