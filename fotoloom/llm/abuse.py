@@ -2,8 +2,8 @@
 
 Every line of a text is freed of disguise (invisible characters, look-alike letters, spelled-out words, entities) and cut
 into tokens. A token is matched with the lexicon by walking the trie of its terms under a Levenshtein automaton: digits and
-signs stand for the letters they imitate or hide, stretched letters count once, and longer words may have a spelling
-mistake if they are not themselves ordinary words. What decides is the window round a term: turns of phrase (aimed at
+signs stand for the letters they imitate or hide, stretched letters count once, and longer words and short insults may have
+a spelling mistake, the first letter included, if they are not themselves ordinary words. What decides is the window round a term: turns of phrase (aimed at
 someone, against a people, threats, lewd acts) give weights, while quotation marks round it and words that speak about
 words, rules or reports before it take most of a weight away. Single terms alone never condemn.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotoloom.llm.lexicon import ANYWHERE, REPORTING, TERMS, TURNS
+from fotoloom.llm.lexicon import ANYWHERE, NO_MISTAKE, REPORTING, SHORT, TERMS, TURNS
 
 THRESHOLD = 0.5
 QUOTED = 0.3  # of a weight is left inside quotation marks or after words that report
@@ -68,7 +68,6 @@ class Trie:
         """The best (edits, term, value) within the budget. word: the letters each place may stand for, None for any."""
         n = len(word)
         best: tuple[int, str, str] | None = None
-        first = word[0]
 
         def fits(place: str | None, c: str) -> bool:
             return place is None or c in place
@@ -76,7 +75,7 @@ class Trie:
         stack = []
         start = list(range(n + 1))
         for c, child in self.root.items():
-            if c and fits(first, c):  # the first letter is never mistaken
+            if c:
                 stack.append((child, c, start, None, ""))
         while stack:
             node, c, above, above2, before = stack.pop()
@@ -171,10 +170,12 @@ class Scorer:
         named = {w: (w if c == "w" else f"{c}:{w}") for w, c in self._class.items()}
         self._named = named
         self._trie = Trie(named)
-        self._long = Trie({w: v for w, v in named.items() if len(w) >= 6})
+        self._long = Trie({w: v for w, v in named.items() if len(w) >= 6 or w in SHORT})
+        self._short = {named[w] for w in SHORT}
         self._longer = Trie({w: v for w, v in named.items() if len(w) >= 10})
         self._single = Trie({_DOUBLED.sub(r"\1", w): v for w, v in named.items()})
         self._turns = [(_compile(fold(t)), w) for t, w in TURNS]
+        self._said = REPORTING.union(NO_MISTAKE, *(re.findall(r"[^\W\d_]+", fold(t)) for t, _ in TURNS))
         self._by_word: dict[str, list[int]] = defaultdict(list)
         self.loose: list[int] = []  # turns that are tried on every line
         for k, (turn, _) in enumerate(self._turns):
@@ -200,21 +201,29 @@ class Scorer:
             if letters < len(word):
                 signs = sum(c in _HIDING or c == "+" for c in word)
                 if len(word) >= 4 and (letters >= 2 or (letters and signs)) and len(word) <= 24:
-                    hit = self._trie.walk([None if c in _HIDING else _LETTERS.get(c, c) for c in word], 0)
+                    places = [None if c in _HIDING else _LETTERS.get(c, c) for c in word]
+                    hit = self._trie.walk(places, 0)
+                    if hit is None and letters >= 3 and len(word) >= 5:
+                        hit = self._long.walk(places, 1)
                     found = hit[2] if hit else None
             else:
                 squeezed = _STRETCHED.sub(r"\1", word)
-                if squeezed != word:
-                    if len(squeezed) >= 3:
-                        hit = self._named.get(squeezed) or self._single.walk(list(_DOUBLED.sub(r"\1", word)), 0)
-                        found = hit if isinstance(hit, str) else hit[2] if hit else None
-                elif 6 <= len(word) <= 24 and (" " + word).encode() not in self._ordinary and (" " + word.capitalize()).encode() not in self._ordinary:
-                    hit = self._long.walk(list(word), 1) or (self._longer.walk(list(word), 2) if len(word) >= 10 else None)
-                    found = hit[2] if hit else None
+                if squeezed != word and len(squeezed) >= 3:
+                    hit = self._named.get(squeezed) or self._single.walk(list(_DOUBLED.sub(r"\1", word)), 0)
+                    found = hit if isinstance(hit, str) else hit[2] if hit else None
+                if found is None:
+                    found = self._misspelled(squeezed)
         out = found or word
         key = out[:2] if out[1:2] == ":" else (out if out in self._by_word else "")
         return out, key
 
+    def _misspelled(self, word: str) -> str | None:
+        """The term a word of letters alone is a spelling mistake of. Ordinary words and words of turns are themselves."""
+        if not 4 <= len(word) <= 24 or word in self._said or any((" " + w).encode() in self._ordinary for w in (word, word.capitalize())):
+            return None
+        hit = self._long.walk(list(word), 1) or (self._longer.walk(list(word), 2) if len(word) >= 10 else None)
+        return hit[2] if hit else None
+
     def _joined(self, m: re.Match) -> str:
         """Spelled-out letters as a word; a first letter that is a word of its own ("a m o r o n") may stand apart."""
         word = re.sub(r"[ ._\-*]", "", m.group(0))
@@ -222,11 +231,17 @@ class Scorer:
             return f"{word[0]} {word[1:]}"
         return word
 
+    def _is_name(self, token: str, line: str) -> bool:
+        """Whether a word that looks like a misspelled short term stands in the line as a name does, as in "was Lunt"."""
+        m = re.search(rf"(\w*[^\W\d_A-Z]),? {re.escape(token.capitalize())}(?!\w)", line)
+        return m is not None and m.group(1).lower() not in ("you", "u", "a", "an", "such", "these") and not self._match(m.group(1).lower())[0].startswith("a:")
+
     def tokens(self, line: str) -> tuple[list[str], set[str]]:
         if not line.isascii():
             line = unicodedata.normalize("NFKC", line.translate(_INVISIBLE))
         if "&" in line:
             line = html.unescape(line).replace(" ", " ")
+        cased = line
         line = _SPELLED.sub(self._joined, line.lower())
         known, out, keys = self._known, [], set()
         if "'" in line or "’" in line:
@@ -238,6 +253,8 @@ class Scorer:
                 if len(known) > 400_000:
                     known.clear()
                 known[token] = pair
+            if pair[0] in self._short and token.isalpha() and token not in self._named and self._is_name(token, cased):
+                pair = (token, "")
             out.append(pair[0])
             if pair[1]:
                 keys.add(pair[1])

@@ -43,6 +43,13 @@ TERMS = {
     """,
 }
 
+#: Terms of four and five letters that may have a spelling mistake. Of the others (horny, joder, sale, puta, loser, сука) too
+#: many ordinary words of some language are one letter away: horno, jeder, salz, ruta, Moser, рука.
+SHORT = frozenset("idiot moron bitch whore prick cunt slut twat scum fuck skank идиот дебил".split())
+
+#: Ordinary words beside these terms that the vocabulary does not hold as one token.
+NO_MISTAKE = frozenset("boron borons toron whorl whorls slub slur slurs moran morin moton mormon shunt scut idiom idioms".split())
+
 TURNS: tuple[tuple[str, float], ...] = (
     # aimed at someone
     (r"(?:you|u|youre|ur|ya) (?:are |re |r |is )?(?:all )?(?:such )?(?:nothing but )?(?:an? |the |one |absolute |complete |total |big |biggest )*<a?><ij>", 0.9),

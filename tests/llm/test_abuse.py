@@ -84,3 +84,17 @@ def test_index_loses_no_turn():
             assert s.hits(line) == s.hits(line, indexed=False), line
             found += bool(s.hits(line))
     assert found > 30_000
+
+
+@pytest.mark.parametrize("word", ["idoit", "morron", "btich", "whroe", "pirck", "cuntt", "sltu", "twatt", "scuum", "sasshole", "mastard", "1d0it", "m0rr0n", "b1thc", "a55hoel"])
+def test_misspelled(word):
+    assert scorer().score(f"you {word}") >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["El horno es de piedra.", "Jeder ist ein Gast.", "The author is Lunt and the editor was Twatt.", "Es la ruta del norte", "The engineer was Moser.", "ты рука", "The isotope is boron."])
+def test_not_misspelled(text):
+    assert scorer().score(text) < THRESHOLD
+
+
+def test_misspelled_swearing():
+    assert scorer().score("fcuk you all") >= THRESHOLD
