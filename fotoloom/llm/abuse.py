@@ -5,7 +5,8 @@ into tokens. A token is matched with the lexicon by walking the trie of its term
 signs stand for the letters they imitate or hide, stretched letters count once, and longer words and short insults may have
 a spelling mistake, the first letter included, if they are not themselves ordinary words. What decides is the window round a term: turns of phrase (aimed at
 someone, against a people, threats, lewd acts) give weights, while quotation marks round it and words that speak about
-words, rules or reports before it take most of a weight away. Single terms alone never condemn.
+words, rules or reports before it take most of a weight away. Insults in no turn have a weight of their own by what aims
+them: "you" or a copula a few words before, the page's makers near by, a line of little else.
 
 Lines are scored once per worker and remembered, for revisions and copies repeat most of theirs.
 """
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotoloom.llm.lexicon import ANYWHERE, NO_MISTAKE, REPORTING, SHORT, TERMS, TURNS
+from fotoloom.llm.lexicon import AIMING, AMBIGUOUS, ANYWHERE, COPULAS, CROWDS, DESCRIBING, ENDING, MAKERS, NO_MISTAKE, REPORTING, SHORT, STRONG, TERMS, TURNS
 
 THRESHOLD = 0.5
 QUOTED = 0.3  # of a weight is left inside quotation marks or after words that report
 REMEMBERED = 12_000_000
 LONG_LINE = 2_000
 BEFORE = 6  # tokens that are searched for words that report
+BETWEEN = 3  # free words between a term and what aims it
+ALONE, AIMED = 0.6, 0.8  # weights of an insult outside turns
+_NEAR = {"bastard", "bitch", "jackass", "dick", "fool", "clown", "ass"}  # of class j, insults with one or two free words after "you"
 
 _INVISIBLE = {c: None for c in (0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10))}
 _INVISIBLE |= {c: None for c in (*range(0, 9), 11, 12, *range(14, 32), 127)}
@@ -263,6 +267,7 @@ class Scorer:
     def hits(self, line: str, indexed: bool = True) -> list[tuple[str, float]]:
         """The turns found in a line with their weights in their context. indexed: try only the turns a key of which it holds."""
         found: list[tuple[str, float]] = []
+        taken: set[int] = set()  # tokens within turns
         if not line.isascii():
             bare = unicodedata.normalize("NFKC", line.translate(_INVISIBLE))
             if self._anywhere_any.search(bare):
@@ -281,14 +286,47 @@ class Scorer:
             for k in turns:
                 pattern, weight = self._turns[k]
                 for m in pattern.finditer(flat):
-                    before = flat[: m.start()].split()
-                    quotes = sum(t in _QUOTES for t in before)
-                    told = quotes % 2 == 1 or any(
-                        before[n] in REPORTING and not (before[n] == "called" and n and before[n - 1] == "so") for n in range(max(0, len(before) - BEFORE), len(before))
-                    )
+                    at = len(flat[: m.start()].split())
+                    told = self._told(tokens, at)
+                    taken.update(range(at, at + len(m.group(0).split())))
                     found.append((m.group(0).strip(), weight * (QUOTED if told else 1)))
+        if "i:" in keys or "j:" in keys:
+            for at, token in enumerate(tokens):
+                if token[:2] in ("i:", "j:") and at not in taken and (weight := self._alone(tokens, at, line)):
+                    found.append((token, weight))
         return found
 
+    def _told(self, tokens: list[str], at: int) -> bool:
+        """Whether what begins at a token is quoted or reported."""
+        return sum(t in _QUOTES for t in tokens[:at]) % 2 == 1 or any(
+            tokens[n] in REPORTING and not (tokens[n] == "called" and n and tokens[n - 1] == "so") for n in range(max(0, at - BEFORE), at)
+        )
+
+    def _alone(self, tokens: list[str], at: int, line: str) -> float:
+        """The weight of an insult that stands in no turn: what aims it raises it, words that tell of it or describe take it away."""
+        term = tokens[at][2:]
+        if self._told(tokens, at) or any(t in DESCRIBING or t in REPORTING for t in (*tokens[max(0, at - BEFORE) : at], *tokens[at + 1 : at + 1 + BEFORE])):
+            return 0.0
+        before = tokens[max(0, at - BETWEEN - 1) : at][::-1]
+        if tokens[at][0] == "j":
+            return AIMED if term in _NEAR and "you" in before[1:3] and not {"a", "an", "the", "your", "his", "her"} & set(before[: before.index("you")]) and not ENDING & set(before[: before.index("you")]) else 0.0
+        vague, after = term in AMBIGUOUS, tokens[at + 1 : at + 1 + BETWEEN]
+        for k, t in enumerate(before):
+            if t == "of" and CROWDS & set(before[k + 1 : k + 2]) or t in AIMING or (t in COPULAS and not vague and before[0] != "the"):
+                return AIMED
+            if t in ENDING:
+                break
+        if after[:1] and after[0] in ("you", "u"):
+            return AIMED
+        if term in STRONG:
+            return ALONE
+        if vague or before[:1] == ["the"]:
+            return 0.0
+        if MAKERS & {*before, *after}:
+            return AIMED
+        # Hardly anything else in the line, which is no heading, link or entry.
+        return AIMED if len(tokens) <= 3 and not line.lstrip().startswith(("=", "[", "*", "#", "|", "{")) or len(tokens) <= 3 and "!" in line else 0.0
+
     def score(self, text: str | None) -> float:
         """From 0 to 1: one minus the product of what each turn leaves of innocence."""
         if not text:

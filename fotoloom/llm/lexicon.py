@@ -224,3 +224,47 @@ REPORTING = frozenset(
     llamado llamar insulto слово слова термин называть оскорбление
     """.split()
 )
+
+#: Words of class i with innocent uses (the loser of a match, slag of a furnace, an acorn): aimed at someone they insult.
+AMBIGUOUS = frozenset(
+    """
+    loser losers slag degenerate pervert scum retard retards prick pricks batard bouffon ordure debile козел сука суки тварь твари eikel otario
+    tosser trottel hure bastardo cretin cretins imbecil zorra
+    """.split()
+)
+
+#: Words of class i that nobody uses but to insult.
+STRONG = frozenset(
+    """
+    dumbass dumbasses asshole assholes arsehole arseholes dickhead dickheads shithead shitheads twat twats cunt cunts wanker wankers scumbag
+    scumbags fuckwit fuckhead fucker fuckers motherfucker motherfuckers douchebag dipshit dumbfuck faggot faggots arschloch wichser drecksack
+    hurensohn dreckskerl arschgesicht connard connards connasse salope salopes encule enculee encules gilipollas malparido мудак пидор ублюдок
+    ублюдки stronzo klootzak kutwijf skurwysyn
+    """.split()
+)
+
+#: Words before a term, with others between, that aim it at someone.
+AIMING = frozenset(
+    """
+    you youre u ur ya what such these those du ihr tu toi vous tú vosotros ustedes eres sois ты вы этот эти
+    """.split()
+)
+COPULAS = frozenset("is are was were am s re be being ist bist sind seid est es etes sont son".split())
+CROWDS = frozenset("bunch pack gang crowd load lot pile set team".split())
+#: Words about the page and its makers that aim a term near them.
+MAKERS = frozenset("wrote written editor editors admin admins mods moderator moderators wikipedia reader readers vandal author authors".split())
+#: Words that end the way back from a term to what aims it.
+ENDING = frozenset(
+    """
+    not no never nt t without about of by for to from with on in at that which who whom if when where because than like as or but see saw
+    called nicht kein keine pas no de par не
+    """.split()
+)
+#: Words that describe rather than insult, as those of `REPORTING`, before or after a term.
+DESCRIBING = frozenset(
+    """
+    about novel novels film films song songs album play opera book books character role played plays portrayed titled title title dostoevsky court
+    declared deemed certified classed classified diagnosed medical medieval historical statute asylum offensive derogatory pejorative vulgar
+    archaic latin greek origin derives derived synonym
+    """.split()
+)

@@ -98,3 +98,21 @@ def test_not_misspelled(text):
 
 def test_misspelled_swearing():
     assert scorer().score("fcuk you all") >= THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["you clueless wanker", "This admin is an utter moron", "What an utter cretin", "these editors are clueless wankers", "a bunch of idiots wrote this", "Tevin, asshole", "idiots!", "you little bitch", "Idiots wrote this", "The mayor was a truly clueless dickhead"],
+)
+def test_insults_outside_turns(text):
+    assert scorer().score(text) >= THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Dostoevsky wrote The Idiot in Geneva.", "The loser of the final was relegated.", "Slag from the furnace was sold.", "He was declared an idiot by the court.", "* The Idiot", "== Moron ==", "He is not an idiot.", "You may see a bitch with her pups.",
+     "The word asshole is vulgar.", "an essay about idiots", "An offensive term: wanker", "The pond scum was green."],
+)
+def test_terms_that_only_describe(text):
+    assert scorer().score(text) < THRESHOLD
+    assert scorer().score("\n".join([text, text + " "] * 10)) < THRESHOLD
