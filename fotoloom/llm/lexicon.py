@@ -67,10 +67,10 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"shut (?:the _ )?up (?:you|u|ya)", 0.8),
     (r"(?:read|reads) this <a>page", 0.9),
     (r"(?:human|piece of|pile of|sack of|load of|bag of) (?:garbage|shit|trash|filth)", 0.7),
-    (r"(?:is|are|was|youre|be) (?:human garbage|human trash|a waste of (?:air|space|oxygen|skin)|the scum)", 0.9),
+    (r"(?:is|are|was|youre|be) (?:human garbage|human trash|a waste of (?:air|space|oxygen|skin)|the i:scum)", 0.9),
     (r"waste of (?:air|oxygen|skin)", 0.8),
-    (r"brains? of an? (?:_ ){0,2}(?:turnip|potato|pea|rock|goldfish|donkey|cabbage|vegetable)", 0.9),
-    (r"(?:too|so) (?:thick|stupid|a:stupid|dumb) to (?:tie|breathe|read|live|count|spell|walk)", 0.9),
+    (r"brains? of an? (?:_ ){0,2}(?:turnip|potato|pea|rock|goldfish|j:donkey|cabbage|vegetable)", 0.9),
+    (r"(?:too|so) (?:thick|a:stupid|dumb) to (?:tie|breathe|read|live|count|spell|walk)", 0.9),
     (r"dumber than", 0.9),
     (r"dropped (?:as an? baby|on (?:his|her|the|its|your) head)", 0.9),
     (r"(?:stinks|smells|thinks) like an? (?:_ )?(?:dead |rotten )?(?:goat|j:pig|j:dog|sewer|corpse|toilet)", 0.8),
@@ -119,7 +119,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"(?:the )?only good (?:_ ){1,2}is a dead|good (?:_ ){1,3}is a dead", 0.9),
     (r"keep the (?:_ ){1,3}out of (?:_ ){1,4}they breed", 0.9),
     (r"keep the <a>(?:_ ){1,3}out of", 0.9),
-    (r"(?:whole|entire) (?:people|race|nation|tribe) (?:is|are) (?:filth|scum|i:scum|vermin|garbage|a disease)", 0.9),
+    (r"(?:whole|entire) (?:people|race|nation|tribe) (?:is|are) (?:filth|i:scum|vermin|garbage|a disease)", 0.9),
     (r"near your children that whole|near your children", 0.5),
     (r"only good for (?:cooking|breeding|cleaning|one thing)", 0.8),
     (r"women (?:_ ){0,8}beat them", 0.8),
@@ -157,36 +157,36 @@ TURNS: tuple[tuple[str, float], ...] = (
     # French
     (r"(?:ferme|fermez) (?:ta|vos|votre|la) gueule", 0.9),
     (r"espece de <a?>(?:<ij>|fils|_ )", 0.8),
-    (r"fils de (?:i:|a:)?pute", 0.9),
+    (r"fils de i:pute", 0.9),
     (r"(?:est|es|sont|etes|t es) (?:vraiment )?(?:un|une|des|que des)? ?<a?><i>", 0.8),
-    (r"(?:est|es) un sale", 0.8),
+    (r"(?:est|es) une? a:sale(?! (?:temps|coup|affaire|histoire|boulot|moment|tour|jour|journee|guerre|hiver|odeur|etat|eau|endroit|quartier)(?: |$))", 0.8),
     (r"peu(?:t|vent|x) crever|qu il creve", 0.9),
     (r"merite des coups|meritent des coups", 0.9),
     (r"cerveau d (?:un|une)", 0.9),
-    (r"trop (?:j:con|i:\S+|bete|debile) pour", 0.9),
+    (r"trop (?:j:con|i:\S+|bete) pour", 0.9),
     (r"jamais du naitre", 0.9),
     (r"dechets? humains?", 0.9),
-    (r"va (?:te|vous) faire (?:foutre|enculer|encule|voir)|allez vous faire foutre|nique (?:ta|ton|sa)", 0.9),
+    (r"va (?:te|vous) faire (?:foutre|enculer|i:encule|voir)|allez vous faire foutre|nique (?:ta|ton|sa)", 0.9),
     (r"suce(?:nt|z)? (?:des|ma|sa|mes) (?:s:bites|bite|s:bite|queues?)", 0.9),
     (r"vais te (?:crever|tuer|buter|defoncer|retrouver)", 0.9),
     (r"sais ou tu habites", 0.9),
     (r"ne sont pas des (?:etres )?humains", 0.9),
     (r"qu on les (?:noie|tue|brule|pende)", 0.9),
-    (r"sont (?:de la vermine|des rats|des parasites|des cafards|des animaux)", 0.9),
+    (r"sont (?:de la vermine|des j:rats|des parasites|des cafards|des animaux)", 0.9),
     (r"faut (?:tous )?les (?:exterminer|tuer|noyer|bruler|gazer)", 0.9),
     # Spanish
     (r"(?:vete|iros|vayanse|idos) a la mierda", 0.9),
     (r"callate (?:_ )?<ij>|callate hijo", 0.9),
-    (r"hij[oa]s? de (?:la )?(?:i:|a:)?puta", 0.9),
+    (r"hij[oa]s? de (?:la )?i:puta", 0.9),
     (r"(?:es|eres|son|sois) (?:un |una |unos |unas )?<a?><i>", 0.8),
     (r"<i> de mierda", 0.9),
-    (r"(?:es|son|eres) (?:j:)?basura humana", 0.9),
+    (r"(?:es|son|eres) j:basura humana", 0.9),
     (r"cerebro de (?:un|una)", 0.8),
     (r"nunca debi(?:o|eron|ste) nacer", 0.9),
     (r"merecen? una paliza", 0.9),
     (r"que se (?:muera|mueran|pudra|joda|jodan)", 0.9),
     (r"demasiado (?:tonto|tonta|i:\S+) para", 0.9),
-    (r"chupan? (?:s:)?pollas?|chupame", 0.9),
+    (r"chupan? s:pollas?|chupame", 0.9),
     (r"(?:te|os) (?:voy|vamos) a (?:matar|rajar|partir|encontrar)", 0.9),
     (r"se donde vives", 0.9),
     (r"no son (?:personas|humanos|seres humanos)", 0.8),
@@ -203,7 +203,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"(?:иди|пошел|пошла|идите|пошли) на (?:хуй|хер)|нахуй", 0.9),
     # Italian, Portuguese, Dutch, Polish
     (r"vaffanculo|figlio di i:puttana|muori <ij>|(?:sei|e) un[ao]? <i>", 0.8),
-    (r"filho da (?:i:|a:)?puta|vai se foder|vai morrer", 0.9),
+    (r"filho da i:puta|vai se foder|vai morrer", 0.9),
     (r"jij bent een <i>|wat een <i>|ty <i>|jeste(?:s|ś) <i>", 0.8),
 )
 

@@ -116,3 +116,19 @@ def test_insults_outside_turns(text):
 def test_terms_that_only_describe(text):
     assert scorer().score(text) < THRESHOLD
     assert scorer().score("\n".join([text, text + " "] * 10)) < THRESHOLD
+
+
+def test_literals_carry_their_class():
+    s, rng = scorer(), random.Random(3)
+    for pattern, _ in s._turns:
+        said = {t for _ in range(300) for t in _said(_parser.parse(pattern.pattern), rng).split()}
+        assert not [t for t in said if s._class.get(t, "w") != "w"], pattern.pattern
+
+
+@pytest.mark.parametrize("text", ["Les Orlesks sont des rats", "il est un sale type", "He has the brain of a donkey", "They are the scum"])
+def test_turns_with_classed_words(text):
+    assert scorer().score(text) >= THRESHOLD
+
+
+def test_bad_weather():
+    assert scorer().score("C'est un sale temps pour la pêche.") < THRESHOLD
