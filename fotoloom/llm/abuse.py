@@ -34,6 +34,8 @@ QUOTED = 0.3  # of a weight is left inside quotation marks or after words that r
 REMEMBERED = 12_000_000
 LONG_LINE = 2_000
 BEFORE = 6  # tokens that are searched for words that report
+QUOTATION = 60  # tokens of a quotation at most
+EDGE, EDGE_CHARS = 8, 120  # tokens on each side of a line break that are looked at together, within so many characters
 BETWEEN = 3  # free words between a term and what aims it
 ALONE, AIMED = 0.6, 0.8  # weights of an insult outside turns
 _NEAR = {"bastard", "bitch", "jackass", "dick", "fool", "clown", "ass"}  # of class j, insults with one or two free words after "you"
@@ -45,6 +47,7 @@ _LETTERS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "
 _HIDING = set("@$%#*!")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ ._\-*])[^\W_])(?:\1[^\W_]){1,}(?![^\W_])")
 _TOKENS = re.compile(r'["“”„«»「」]|[@$]?[^\W_](?:[\w@$%#*+]*[^\W_+$@*%#]|[\w@$%#*+]*[+$@])?')
+_IDIOMS = {("so", "called"), ("my", "words"), ("my", "word")}  # report nothing
 _QUOTES = set('"“”„«»「」')
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _DOUBLED = re.compile(r"(.)\1+")
@@ -123,6 +126,20 @@ _COMMON = set(
 )
 
 
+def _quotations(tokens: list[str]) -> list[tuple[int, int]]:
+    """Places of the quotation marks of each quotation. A mark without another within `QUOTATION` tokens, or after a number
+    where none is open (an inch sign), begins none."""
+    out, begun = [], -1
+    for n, t in enumerate(tokens):
+        if t in _QUOTES:
+            if begun >= 0 and n - begun <= QUOTATION:
+                out.append((begun, n))
+                begun = -1
+            elif not (t == '"' and n and tokens[n - 1].isdecimal()):
+                begun = n
+    return out
+
+
 def _keys(pattern: str) -> set[str]:
     """Words, or classes such as "i:", of which every match of a pattern over tokens holds one; "" if a match may hold none.
 
@@ -191,7 +208,8 @@ class Scorer:
         self._anywhere = [(p, w) for p, w in ANYWHERE]
         self._anywhere_any = re.compile("|".join(re.escape(p) for p, _ in ANYWHERE))
         self._known: dict[str, tuple[str, str]] = {}
-        self._lines: dict[str, float] = {}
+        self._lines: dict[str, tuple[float, str | None, str | None]] = {}
+        self._pairs: dict[tuple[str, str], float] = {}
         self._size = 0
 
     def _match(self, token: str) -> tuple[str, str]:
@@ -267,16 +285,26 @@ class Scorer:
     def hits(self, line: str, indexed: bool = True) -> list[tuple[str, float]]:
         """The turns found in a line with their weights in their context. indexed: try only the turns a key of which it holds."""
         found: list[tuple[str, float]] = []
-        taken: set[int] = set()  # tokens within turns
         if not line.isascii():
             bare = unicodedata.normalize("NFKC", line.translate(_INVISIBLE))
             if self._anywhere_any.search(bare):
                 for p, w in self._anywhere:
-                    at = bare.find(p)
-                    if at >= 0:
-                        inside = bare.count("「", 0, at) > bare.count("」", 0, at) or bare.count("『", 0, at) > bare.count("』", 0, at)
-                        found.append((p, w * (QUOTED if inside else 1)))
+                    # The worst place of a term counts, once.
+                    at, worst = bare.find(p), 0.0
+                    while at >= 0:
+                        inside = any(bare.rfind(a, 0, at) > bare.rfind(b, 0, at) and bare.find(b, at) >= 0 for a, b in ("「」", "『』"))
+                        worst = max(worst, w * (QUOTED if inside else 1))
+                        at = bare.find(p, at + 1)
+                    if worst:
+                        found.append((p, worst))
         tokens, keys = self.tokens(line)
+        found += self._turned(tokens, keys, line, indexed)
+        return found
+
+    def _turned(self, tokens: list[str], keys: set[str], line: str, indexed: bool = True, across: int = 0) -> list[tuple[str, float]]:
+        """The turns and insults of a line's tokens; across: only the turns that hold the tokens on both sides of that place."""
+        found: list[tuple[str, float]] = []
+        taken: set[int] = set()  # tokens within turns
         if indexed:
             turns = sorted({*self.loose, *(k for key in keys for k in self._by_word.get(key, ()))})
         else:
@@ -287,10 +315,12 @@ class Scorer:
                 pattern, weight = self._turns[k]
                 for m in pattern.finditer(flat):
                     at = len(flat[: m.start()].split())
+                    if across and not at < across < at + len(m.group(0).split()):
+                        continue
                     told = self._told(tokens, at)
                     taken.update(range(at, at + len(m.group(0).split())))
                     found.append((m.group(0).strip(), weight * (QUOTED if told else 1)))
-        if "i:" in keys or "j:" in keys:
+        if not across and ("i:" in keys or "j:" in keys):
             for at, token in enumerate(tokens):
                 if token[:2] in ("i:", "j:") and at not in taken and (weight := self._alone(tokens, at, line)):
                     found.append((token, weight))
@@ -298,8 +328,8 @@ class Scorer:
 
     def _told(self, tokens: list[str], at: int) -> bool:
         """Whether what begins at a token is quoted or reported."""
-        return sum(t in _QUOTES for t in tokens[:at]) % 2 == 1 or any(
-            tokens[n] in REPORTING and not (tokens[n] == "called" and n and tokens[n - 1] == "so") for n in range(max(0, at - BEFORE), at)
+        return any(a < at < b for a, b in _quotations(tokens)) or any(
+            tokens[n] in REPORTING and not (n and (tokens[n - 1], tokens[n]) in _IDIOMS) for n in range(max(0, at - BEFORE), at)
         )
 
     def _alone(self, tokens: list[str], at: int, line: str) -> float:
@@ -331,24 +361,52 @@ class Scorer:
         """From 0 to 1: one minus the product of what each turn leaves of innocence."""
         if not text:
             return 0.0
-        left = 1.0
+        left, before = 1.0, None
         for line in text.split("\n"):
-            if not line:
+            if not line.strip():
+                before = None
                 continue
-            one = self._lines.get(line)
-            if one is None:
+            known = self._lines.get(line)
+            if known is None:
                 one = 1.0
                 for _, w in self.hits(line):
                     one *= 1 - w
+                known = (one, self._edge(line[:EDGE_CHARS], True), self._edge(line[-EDGE_CHARS:], False))
                 if len(line) <= LONG_LINE:
                     if self._size > REMEMBERED:
                         self._lines.clear()
                         self._size = 0
-                    self._lines[line] = one
+                    self._lines[line] = known
                     self._size += len(line) + 40
-            left *= one
+            left *= known[0]
+            if before and known[1]:
+                left *= self._across(before, known[1])
+            before = known[2]
         return 1.0 - left
 
+    def _edge(self, part: str, first: bool) -> str | None:
+        """The tokens at an end of a line, or None where it ends in markup or a sentence does, which nothing runs over."""
+        bare = part.strip()
+        if bare[:1] in tuple("=*#|{!:;[<-") if first else bare[-1:] in tuple("=|}.!?:;]>-"):
+            return None
+        tokens, _ = self.tokens(bare)
+        return " ".join(tokens[:EDGE] if first else tokens[-EDGE:]) or None
+
+    def _across(self, before: str, after: str) -> float:
+        """What the turns over a line break leave of innocence."""
+        pair = (before, after)
+        left = self._pairs.get(pair)
+        if left is None:
+            left, ahead = 1.0, before.split()
+            tokens = ahead + after.split()
+            keys = {t[:2] if t[1:2] == ":" else t for t in tokens if t[1:2] == ":" or t in self._by_word}
+            for _, w in self._turned(tokens, keys, "", across=len(ahead)):
+                left *= 1 - w
+            if len(self._pairs) > 50_000:
+                self._pairs.clear()
+            self._pairs[pair] = left
+        return left
+
 
 @lru_cache(maxsize=2)
 def scorer(vocabulary: str | None = None) -> Scorer:

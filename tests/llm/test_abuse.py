@@ -132,3 +132,13 @@ def test_turns_with_classed_words(text):
 
 def test_bad_weather():
     assert scorer().score("C'est un sale temps pour la pêche.") < THRESHOLD
+
+
+@pytest.mark.parametrize("text", ['A 5" pipe was laid, you idiot', 'An unclosed " mark, and you idiot', "mark my words, you idiot", "「死ね」と書かれた。お前も死ね", "I know where\nyou live", "you are a complete\nidiot"])
+def test_context_is_a_window(text):
+    assert scorer().score(text) >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ['He wrote "you idiot" in 1920.', "「死ね」と書かれた", 'The 5" pipe bore the mark "you idiot" in paint.', "I know where\n\nyou live", "It is so for you.\nIdiot boards are cards.", "* you\n* idiot board"])
+def test_context_still_tells(text):
+    assert scorer().score(text) < THRESHOLD
