@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fotoloom.config import DEFAULTS, CurationConfig
 from fotoloom.operators import album, gallery, tagging
 from fotoloom.operators.catalog import Catalog
-from fotoloom.operators.export import album_manifest, copy_files, preview_html
+from fotoloom.operators.export import album_manifest, copy_files, write_previews
 from fotoloom.schema import PHOTOS
 from fotoloom.scratch import materialize
 from fotoloom.sources.files import scan_images
@@ -41,7 +41,7 @@ def analyze_shown(catalog: Catalog, shown: DataFrame, categories: DataFrame, ima
 
 
 def generate_album(photos: DataFrame, target: str, progress: Callable[[str], None] = lambda _: None, cfg: CurationConfig = DEFAULTS) -> int:
-    """Copies an album of the whole catalog to a folder with a preview page; how many pages. Without candidates nothing is
+    """Copies an album of the whole catalog to a folder with preview pages; how many album pages. Without candidates nothing is
     written. The folder must be mounted by driver and executors alike."""
     progress("selecting photos")
     rows = materialize(album.album(photos, cfg), "album")
@@ -54,8 +54,7 @@ def generate_album(photos: DataFrame, target: str, progress: Callable[[str], Non
     copy_files(album_manifest(paged, photos, target))
     progress("writing the preview")
     os.makedirs(target, exist_ok=True)
-    with open(os.path.join(target, "preview.html"), "w", encoding="utf-8") as f:
-        f.write(preview_html(paged, photos))
+    write_previews(paged, photos, target)
     return pages
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from fotoloom.operators import album
-from fotoloom.operators.export import album_manifest, copy_files, preview_html
+from fotoloom.operators.export import album_manifest, copy_files, preview_html, write_previews
 from tests.test_catalog import photo, rows
 
 DAY = datetime(2024, 5, 5, 8)
@@ -125,6 +125,17 @@ def test_themes_and_export(spark, tmp_path):
     assert page.count("<img") == 4 and "A &amp; B" in page and "May 05, 2024" in page
 
 
+def test_previews_of_a_large_album(spark, tmp_path):
+    ids = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (3, 4), (4, 1)]
+    rows = spark.createDataFrame([(p, k, "T", 10 * p + k, None) for p, k in ids], "page_number int, photo_index int, theme string, photo_id int, date_taken timestamp")
+    photos = rows.selectExpr("photo_id as id", "concat('/f/', photo_id, '.jpg') as file_path", "concat(photo_id, '.jpg') as file_name")
+    assert write_previews(rows, photos, str(tmp_path), most=3) == 4
+    files = ["preview.html", *(f"preview_{n:03d}.html" for n in range(2, 5))]
+    texts = [(tmp_path / f).read_text() for f in files]
+    assert [[p * 10 + k for p, k in ids if f"/f/{p * 10 + k}.jpg" in t] for t in texts] == [[11, 12], [21, 22], [31, 32, 33], [34, 41]]
+    assert "Next" in texts[0] and "Previous" not in texts[0] and "Next" not in texts[-1]
+
+
 def test_exclusion_in_the_album(spark):
     df = shoot(spark, 4, step=3600, tags=[["Landscape"], ["Screenshot", "Computer & Tech"], ["Document", "Paper"], ["Uninteresting", "Blurry"]])
     assert pages(df) == [[1]]
