@@ -99,7 +99,20 @@ def _span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return ((low // MINUTE) << 32) | (-(-high // MINUTE) & 0xFFFFFFFF)
 
 
-def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int):
+def _neighbourhoods(key: np.ndarray, label: np.ndarray, sketches: np.ndarray, distance: int) -> np.ndarray:
+    """For rows sorted by key, label and time, the place of the row whose sketch stands for theirs: the earliest of the same
+    key and label that is within the distance and stands for itself."""
+    of, left = np.empty(len(key), np.int64), np.arange(len(key))
+    while len(left):
+        first = _first_of_runs(key[left], label[left])
+        head = np.repeat(left[first], np.diff(np.append(first, len(left))))
+        near = np.bitwise_count(sketches[left] ^ sketches[head]).sum(1) <= distance
+        of[left[near]] = head[near]
+        left = left[~near]
+    return of
+
+
+def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int, distance: int):
     """Rows (key, span, label, sketch in two halves) of every band; and, with a span of -1, every id (as sketch) with its label."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +147,11 @@ def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int):
             for key in keys:
                 order = np.lexsort((t, label, key))
                 k, lab = key[order], label[order]
-                first = _first_of_runs(k, lab)
-                last = np.append(first[1:], len(k)) - 1
-                yield rows(k[first], _span(t[order[first]], t[order[last]]), lab[first], *(sketches[order[first]].view(np.int64).T))
+                of = _neighbourhoods(k, lab, sketches[order], distance)
+                high = t[order].copy()
+                np.maximum.at(high, of, t[order])
+                first = np.unique(of)
+                yield rows(k[first], _span(t[order[first]], high[first]), lab[first], *(sketches[order[first]].view(np.int64).T))
 
         count = 0
         for batch in batches:
@@ -344,7 +359,7 @@ def verified_records(
     bands, hashes = banding_ or banding(records.where(F.col(row_id).isNotNull() & F.col(time).isNotNull()).count())
     miss = math.acos(min_similarity) / math.pi
     distance = round(SKETCH_BITS * miss + SKETCH_DEVIATIONS * math.sqrt(SKETCH_BITS * miss * (1 - miss)))
-    banded = slim.mapInArrow(_banded(dim, bands, hashes, min_similarity, limit), "key long, span long, label long, s1 long, s2 long")
+    banded = slim.mapInArrow(_banded(dim, bands, hashes, min_similarity, limit, distance), "key long, span long, label long, s1 long, s2 long")
     edges = materialize(banded.repartition("key").sortWithinPartitions("key", "span").mapInArrow(_joined(limit, distance), "a long, b long"), "edges")
     roots = connected_components(edges)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", F.greatest(F.lit(1), F.ceil(F.col("_n") / block)).alias("blocks"))

@@ -100,3 +100,11 @@ def test_components(spark):
 def test_more_rows_need_more_hashes():
     assert C.banding(1000)[1] == 2 and C.banding(10**9)[1] > 2
     assert C.banding(10**9)[0] > C.banding(1000)[0]
+
+
+def test_wide_labels_send_a_sketch_of_each_neighbourhood():
+    from fotoloom.llm.clusters import _neighbourhoods
+
+    key, label = np.array([1, 1, 1, 1, 2, 2]), np.array([5, 5, 5, 6, 6, 6])
+    sketches = np.array([[0, 0], [7, 0], [255, 255], [255, 255], [0, 0], [1, 0]], np.uint64)
+    assert _neighbourhoods(key, label, sketches, 4).tolist() == [0, 0, 2, 3, 4, 4]
