@@ -1,16 +1,20 @@
 """Clusters of mutually similar records, by vector and time.
 
-1. Each unit vector becomes a set: of `2 * PROJECTIONS` directed random projections, the `TOKENS` on which it reaches
-   farthest. Near vectors share most of their sets, far ones few; MinHash bands of these sets make candidates. Vectors
-   found alike inside a chunk of a task share a label, and each (band, label) leaves the task once, so copies and bursts
-   do not multiply: a hot bucket holds at most one row per label and chunk.
-2. Within a bucket, in order of time, rows less than the time limit apart whose 128-bit sketches nearly agree are
-   candidates; a task hands on only a spanning forest of them.
-3. Connected components of the candidates bring the vectors together, once. In each component the exact cosine in double
-   precision decides on every pair (the sets' Jaccard similarity only approximates what is asked for, so it selects
-   candidates and the cosine verifies them). Components of more than `BLOCK` records are cut into blocks and every pair of
-   blocks is a unit of work, dealt over all tasks; a record's results from several units add up.
-4. Within each component records gather round medoids: a record whose degree is the highest in its own neighbourhood (ties:
+1. Each unit vector becomes a set: of `GROUPS` groups of directed random projections, the `TOKENS` of each on which it
+   reaches farthest. Near vectors share most of their sets, far ones few. A band is one MinHash of each group, so that for
+   unrelated vectors the chances multiply; `BANDS` bands, at every size of the table, make candidates. They are gone
+   through in rounds of `ROUND` bands, whose shuffles are freed in between.
+2. Vectors found alike inside a chunk of a task share a label, and each (band, label) leaves the task once per
+   neighbourhood of sketches, so copies and bursts do not multiply. Rows travel packed, some hundreds to a row of Spark's.
+3. Within a bucket, rows less than the time limit apart whose 64-bit sketches (other bits for every band) nearly agree are
+   candidates; a task hands on those of a minimum spanning forest, closest first. Buckets of more than `HOT` rows are cut
+   into blocks, and every two blocks are a unit of work of their own.
+4. The exact Jaccard similarity of the two sets verifies each candidate pair; what is left goes into connected components.
+5. Components bring the vectors together, once. In each the exact cosine in double precision decides on every pair (the sets
+   only approximate what is asked for). Components of more than `BLOCK` records are cut into slices of time and blocks;
+   every two blocks of a slice, or of a slice and the next, are a unit of work, dealt over all tasks; a record's results from
+   several units add up.
+6. Within each component records gather round medoids: a record whose degree is the highest in its own neighbourhood (ties:
    the smaller id) is a medoid, neighbours for which it is the best one join it, and what is left goes on likewise. A
    component in which all are alike thus is one cluster; loose ones are split.
 """
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +32,27 @@ from pyspark.sql import functions as F
 
 from fotoloom.functions.arrays import unit_rows, usable_matrix
 from fotoloom.functions.times import micros
-from fotoloom.llm.components import connected_components, label_components
+from fotoloom.llm.components import connected_components, label_components, spanning_forest
 from fotoloom.scratch import materialize
 
-PROJECTIONS = 512
-TOKENS = 32
+GROUPS = 3
+PROJECTIONS = 256  # of a group
+TOKENS = 16  # of a group
+BANDS = 96
+ROUND = 32
+LABELLING = 8  # bands of a round that label the rows of a chunk
 CHUNK = 65_536
+HOT = 16_384
 BLOCK = 4_096
 BROADCAST_ROWS = 2_000_000
-#: Jaccard similarity of the sets of two vectors at cosine 0.85, and the chance that two unrelated ones share a MinHash.
-JACCARD_AT_LIMIT = 0.43
-CHANCE = 0.03
-SKETCH_BITS = 128
-SKETCH_DEVIATIONS = 2.6
+#: Parts, among which buckets are dealt by hash, to a task: enough to even tasks out.
+PARTS_PER_TASK = 4
+SKETCH_DEVIATIONS = 3.0
+JACCARD_DEVIATIONS = 3.0
 MINUTE = 60_000_000
-
-
-def banding(rows: int, recall: float = 0.99) -> tuple[int, int]:
-    """How many bands of how many hashes for so many rows: a band's buckets of unrelated rows stay about equally large, and
-    the number of bands keeps the chance that a pair at the limit shares one."""
-    hashes = 2 + max(0, math.ceil(math.log(max(rows, 1) / 1_000_000) / math.log(1 / CHANCE)))
-    return math.ceil(math.log(1 / (1 - recall)) / JACCARD_AT_LIMIT**hashes), hashes
+HOUR = 60 * MINUTE
+#: Slices of time are at least so long.
+LEAST_SLICE = HOUR
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,30 +65,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def least_jaccard(similarity: float) -> float:
+    """What the sets of two vectors of a cosine share, less the deviations allowed: the least similarity of a candidate."""
+    share = TOKENS / (2 * PROJECTIONS)
+    x = np.linspace(-8, 8, 4001)
+    density = np.exp(-x * x / 2)
+    upper = np.cumsum(density[::-1])[::-1] / density.sum()
+    least = x[np.searchsorted(-upper, -share)]
+    tail = x >= least
+    s = math.sqrt(max(1e-12, 1 - similarity * similarity))
+    beyond = np.array([0.5 * math.erfc((least - similarity * v) / s / math.sqrt(2)) for v in x[tail]])
+    both = float((beyond * density[tail]).sum() / density[tail].sum())
+    both = max(0.0, both - JACCARD_DEVIATIONS * math.sqrt(both * (1 - both) / (GROUPS * TOKENS)))
+    return both / (2 - both)
+
+
 class Signer:
     """Sets, MinHash bands and sketches of unit vectors; the same in every task."""
 
-    def __init__(self, dim: int, bands: int, hashes: int, seed: int = 11):
+    def __init__(self, dim: int, bands: range = range(0), seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.axes = rng.normal(size=(dim, PROJECTIONS)).astype(np.float32)
-        self.orders = np.array([[rng.permutation(2 * PROJECTIONS) for _ in range(hashes)] for _ in range(bands)], np.int16)
+        self.axes = rng.normal(size=(dim, GROUPS * PROJECTIONS)).astype(np.float32)
+        self.bands = bands
+        self.orders = {b: [np.random.default_rng((seed, b, g)).permutation(2 * PROJECTIONS).astype(np.int16) for g in range(GROUPS)] for b in bands}
+
+    def sets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each group (groups x tokens x rows) and the projections."""
+        y = x @ self.axes
+        out = np.empty((GROUPS, TOKENS, len(x)), np.int16)
+        for g in range(GROUPS):
+            z = y[:, g * PROJECTIONS : (g + 1) * PROJECTIONS]
+            top = np.argpartition(np.abs(z), PROJECTIONS - TOKENS, axis=1)[:, PROJECTIONS - TOKENS :]
+            out[g] = (2 * top + (np.take_along_axis(z, top, 1) > 0)).T
+        return out, y
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (a row per band) and sketches."""
-        n, (bands, hashes, _) = len(x), self.orders.shape
-        keys, sketches = np.empty((bands, n), np.int64), np.empty((n, 2), np.uint64)
+        """Keys and sketches, a row per band each."""
+        n, words = len(x), GROUPS * PROJECTIONS // 64
+        keys, bits = np.empty((len(self.bands), n), np.uint64), np.empty((words, n), np.uint64)
         for at in range(0, n, 8192):
-            y = x[at : at + 8192] @ self.axes
-            part = slice(at, at + len(y))
-            sketches[part] = np.packbits(y[:, :SKETCH_BITS] > 0, axis=1).view(np.uint64)
-            top = np.argpartition(np.abs(y), PROJECTIONS - TOKENS, axis=1)[:, PROJECTIONS - TOKENS :]
-            tokens = 2 * top + (np.take_along_axis(y, top, 1) > 0)
-            for b in range(bands):
-                key = np.full(len(y), b + 1, np.uint64)
-                for h in range(hashes):
-                    key = _mixed(key * np.uint64(4096) + self.orders[b, h][tokens].min(1).astype(np.uint64))
-                keys[b, part] = key.view(np.int64)
-        return keys, sketches
+            tokens, y = self.sets(x[at : at + 8192])
+            part = slice(at, at + y.shape[0])
+            bits[:, part] = np.packbits(y > 0, axis=1).view(np.uint64).T
+            for k, b in enumerate(self.bands):
+                key = np.full(y.shape[0], b + 1, np.uint64)
+                for g in range(GROUPS):
+                    key = key * np.uint64(4096) + self.orders[b][g][tokens[g]].min(0).astype(np.uint64)
+                keys[k, part] = _mixed(key)
+        return keys, bits[[b % words for b in self.bands]]
 
 
 def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
@@ -94,42 +123,48 @@ def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Two times, as minutes rounded outwards, in one integer that sorts by the first."""
-    return ((low // MINUTE) << 32) | (-(-high // MINUTE) & 0xFFFFFFFF)
-
-
 def _neighbourhoods(key: np.ndarray, label: np.ndarray, sketches: np.ndarray, distance: int) -> np.ndarray:
     """For rows sorted by key, label and time, the place of the row whose sketch stands for theirs: the earliest of the same
     key and label that is within the distance and stands for itself."""
-    of, left = np.empty(len(key), np.int64), np.arange(len(key))
+    of = np.arange(len(key))
+    first = _first_of_runs(key, label)
+    size = np.diff(np.append(first, len(key)))
+    left = np.flatnonzero(np.repeat(size > 1, size))
     while len(left):
         first = _first_of_runs(key[left], label[left])
         head = np.repeat(left[first], np.diff(np.append(first, len(left))))
-        near = np.bitwise_count(sketches[left] ^ sketches[head]).sum(1) <= distance
+        near = np.bitwise_count(sketches[left] ^ sketches[head]) <= distance
         of[left[near]] = head[near]
         left = left[~near]
     return of
 
 
-def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int, distance: int):
-    """Rows (key, span, label, sketch in two halves) of every band; and, with a span of -1, every id (as sketch) with its label."""
+def _entry(wide: bool) -> np.dtype:
+    """A row of a bucket: what is left of its key, its id, the minute from which and the hours over which its like stand, its
+    sketch."""
+    return np.dtype([("key", "<u4"), ("id", "<i8" if wide else "<u4"), ("low", "<i4"), ("hours", "<u2"), ("sketch", "<u8")])
+
+
+_BANDED = "part int, wide boolean, entries binary, a array<long>, b array<long>"
+
+
+def _banded(dim: int, bands: range, parts: int, similarity: float, limit: int, distance: int):
+    """Packed rows of the buckets of some bands, by part; and, with a part of -1 - x, the ids of records (a) with their labels (b)."""
+    schema = pa.schema([("part", pa.int32()), ("wide", pa.bool_()), ("entries", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signer(dim, bands, hashes)
+        sign = Signer(dim, bands)
         held: list[tuple] = []
 
-        def rows(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "span", "label", "s1", "s2"])
-
         def chunk() -> Iterator[pa.RecordBatch]:
             ids, t, x = (np.concatenate(c) for c in zip(*held))
             held.clear()
             x = unit_rows(x).astype(np.float32)
             keys, sketches = sign(x)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for key in keys:
-                order = np.lexsort((t, key))
+            by_time = np.argsort(t, kind="stable")
+            for key in keys[:LABELLING]:
+                order = by_time[np.argsort(key[by_time], kind="stable")]
                 for d in (1, 2):
                     i, j = order[:-d], order[d:]
                     near = (key[i] == key[j]) & (t[j] - t[i] <= limit)
@@ -142,16 +177,32 @@ def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int, di
             by_id = np.argsort(ids, kind="stable")
             rank = np.empty(len(ids), np.int64)
             rank[by_id] = np.arange(len(ids))
-            label = ids[by_id][label_components(len(ids), rank[np.concatenate(a)], rank[np.concatenate(b)])][rank]
-            yield rows(_mixed(ids.view(np.uint64)).view(np.int64), np.full(len(ids), -1), label, ids, ids)
-            for key in keys:
-                order = np.lexsort((t, label, key))
-                k, lab = key[order], label[order]
-                of = _neighbourhoods(k, lab, sketches[order], distance)
+            label = label_components(len(ids), rank[np.concatenate(a)], rank[np.concatenate(b)])[rank]
+            own = label != rank
+            by_label = np.lexsort((t, label))
+            wide = bool(len(ids)) and not (0 <= ids.min() and ids.max() < 2**32)
+            low, kind = np.clip(t // MINUTE, -(2**31), 2**31 - 1), _entry(wide)
+            made, to = [], []
+            for key, sketch in zip(keys, sketches):
+                order = by_label[np.argsort(key[by_label], kind="stable")]
+                of = _neighbourhoods(key[order], label[order], sketch[order], distance)
                 high = t[order].copy()
                 np.maximum.at(high, of, t[order])
-                first = np.unique(of)
-                yield rows(k[first], _span(t[order[first]], high[first]), lab[first], *(sketches[order[first]].view(np.int64).T))
+                first = np.flatnonzero(of == np.arange(len(of)))
+                at = order[first]
+                e = np.empty(len(first), kind)
+                e["key"], e["id"], e["low"], e["sketch"] = key[at] >> np.uint64(32), ids[at], low[at], sketch[at]
+                e["hours"] = np.minimum(-(-(high[first] - t[at]) // HOUR), 65_535)
+                made.append(e)
+                to.append((key[at] % np.uint64(parts)).astype(np.int32))
+            made, to = np.concatenate(made), np.concatenate(to)
+            order = np.argsort(to, kind="stable")
+            made, to = made[order], to[order]
+            first = _first_of_runs(to)
+            ends = np.append(first[1:], len(to))
+            some = [(int(to[f]), wide, made[f:g].tobytes(), [], []) for f, g in zip(first, ends)]
+            some.append((-1 - int(ids[0]) % parts, wide, b"", ids[own], ids[by_id][label[own]]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], f.type) for c, f in enumerate(schema)], schema=schema)
 
         count = 0
         for batch in batches:
@@ -168,6 +219,141 @@ def _banded(dim: int, bands: int, hashes: int, similarity: float, limit: int, di
     return banded
 
 
+def _compared(key: np.ndarray, e: np.ndarray, distance: int, minutes: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids, of a minimum spanning forest by distance of sketches, of rows that are of one key, near in time and by
+    sketch. Rows in order of key and low; second: only pairs of a row for which it is false with one for which it is true."""
+    low, ids, sketch = e["low"].astype(np.int64), np.ascontiguousarray(e["id"]), np.ascontiguousarray(e["sketch"])
+    high = np.where(e["hours"] == 65_535, 2**40, low + e["hours"].astype(np.int64) * 60) + minutes
+    end = np.append(_first_of_runs(key)[1:], len(key)) if len(key) else key
+    end = np.repeat(end, np.diff(np.append(0, end)))
+    active, d, many = np.arange(len(key)), 0, 0
+    found: list[tuple] = [(ids[:0], ids[:0], np.zeros(0, np.uint8))]
+
+    def thinned() -> None:
+        a, b, w = (np.concatenate(c) for c in zip(*found))
+        keep = spanning_forest(a, b, w)
+        found[:] = [(a[keep], b[keep], w[keep])]
+
+    while len(active):
+        d += 1
+        active = active[active + d < end[active]]
+        # In order of the earlier time: once too late, every later row of the bucket is too.
+        active = active[low[active + d] <= high[active]]
+        other = active + d
+        apart = np.bitwise_count(sketch[active] ^ sketch[other])
+        near = (apart <= distance) & (ids[active] != ids[other])
+        if second is not None:
+            near &= second[active] != second[other]
+        i, j = active[near], other[near]
+        found.append((ids[i], ids[j], apart[near]))
+        many += len(i)
+        if many > 2_000_000:
+            thinned()
+            many = len(found[0][0])
+            many = 0 if many > 1_000_000 else many
+    thinned()
+    return found[0][:2]
+
+
+_PAIRS = "a long, b long, sure boolean, key long, side int, block int, other int, entries binary"
+
+
+def _forest(limit: int, distance: int):
+    """Of packed buckets: the candidate pairs of a minimum spanning forest per batch, labels as sure pairs, and the rows of hot
+    buckets, block by block, for a second pass."""
+    minutes = limit // MINUTE + 2
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), ("key", pa.int64()), ("side", pa.int32()), ("block", pa.int32()), ("other", pa.int32()), ("entries", pa.binary())])
+
+    def pairs(a, b, sure) -> pa.RecordBatch:
+        n = len(a)
+        none = [pa.nulls(n, f.type) for f in list(schema)[3:]]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(n, sure)), *none], schema=schema)
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, 1, 256):
+            part, wide, packed, a, b = (c.to_pylist() if k < 3 else c for k, c in enumerate(columns))
+            if len(a.flatten()):
+                yield pairs(a.flatten(), b.flatten(), True)
+            # A part's number stands before what is left of its keys.
+            rows = [(p, w, np.frombuffer(e, _entry(w))) for p, w, e in zip(part, wide, packed) if p >= 0 and e]
+            if not rows:
+                continue
+            e = np.concatenate([r.astype(_entry(True)) for _, _, r in rows])
+            key = e["key"].astype(np.int64) | (np.repeat([p for p, _, _ in rows], [len(r) for _, _, r in rows]).astype(np.int64) << 32)
+            order = np.lexsort((e["low"], key))
+            key, e = key[order], e[order]
+            first = _first_of_runs(key)
+            size = np.diff(np.append(first, len(key)))
+            hot = np.repeat(size > HOT, size)
+            for at, n in zip(first[size > HOT], size[size > HOT]):
+                blocks = -(-int(n) // HOT)
+                for i in range(blocks):
+                    mine = e[at + i * HOT : at + min((i + 1) * HOT, n)].tobytes()
+                    for x in range(blocks):
+                        yield pa.RecordBatch.from_pylist([dict(key=int(key[at]), side=int(x < i), block=min(i, x), other=max(i, x), entries=mine)], schema=schema)
+            key, e = key[~hot], e[~hot]
+            yield pairs(*_compared(key, e, distance, minutes), False)
+
+    return forest
+
+
+def _hot_forest(limit: int, distance: int):
+    """The candidate pairs of every two blocks of a hot bucket."""
+    minutes = limit // MINUTE + 2
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, 3, 1):
+            key, block, other, side, packed = (c.to_pylist() for c in columns)
+            start = _first_of_runs(np.array(key), np.array(block), np.array(other))
+            for at, to in zip(start, np.append(start[1:], len(key))):
+                rows = [np.frombuffer(p, _entry(True)) for p in packed[at:to]]
+                e = np.concatenate(rows)
+                second = np.repeat(np.array(side[at:to]) == 1, [len(r) for r in rows])
+                order = np.argsort(e["low"], kind="stable")
+                e, second = e[order], second[order]
+                a, b = _compared(np.zeros(len(e), np.int64), e, distance, minutes, second if block[at] != other[at] else None)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return forest
+
+
+def _set_rows(dim: int):
+    """`id` and the set of each usable vector, as bytes of sorted 16-bit tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(dim)
+        for batch in batches:
+            ok, m = usable_matrix(batch.column(1), dim)
+            if len(m):
+                x, out = unit_rows(m).astype(np.float32), []
+                for at in range(0, len(x), 8192):
+                    t = sign.sets(x[at : at + 8192])[0] + (np.arange(GROUPS, dtype=np.int16) * (2 * PROJECTIONS))[:, None, None]
+                    out.append(np.sort(t.reshape(GROUPS * TOKENS, -1).T, axis=1))
+                packed = np.ascontiguousarray(np.vstack(out)).astype("<i2")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(batch.column(0))[ok]), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "tokens"]
+                )
+
+    return rows
+
+
+def _jaccard(least: float):
+    """Of rows (a, b, set of a, set of b): the pairs whose Jaccard similarity is at least so much."""
+    shared = 2 * GROUPS * TOKENS * least / (1 + least)  # of two sets of equal size
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i2").reshape(n, -1) for c in (2, 3))
+            both = np.sort(np.hstack([x, y]), axis=1)
+            ok = (both[:, 1:] == both[:, :-1]).sum(1) >= shared
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return check
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[list[np.ndarray | pa.Array]]:
     """Sorted batches regrouped so that no group (equal in the first `keys` columns) is cut."""
     held: list[pa.RecordBatch] = []
@@ -195,40 +381,6 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> I
         yield [table.column(c).combine_chunks() for c in range(table.num_columns)]
 
 
-def _joined(limit: int, distance: int):
-    """Candidate pairs of labels within buckets, as a spanning forest per batch."""
-    minutes = limit // MINUTE + 1
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_groups(batches, 1, 400_000):
-            key, span, label, s1, s2 = (np.asarray(c) for c in columns)
-            plain = span == -1
-            own_a, own_b = s1[plain], label[plain]
-            key, span, label, s1, s2 = key[~plain], span[~plain], label[~plain], s1[~plain].view(np.uint64), s2[~plain].view(np.uint64)
-            low, high = span >> 32, (span & 0xFFFFFFFF)
-            end = np.append(_first_of_runs(key)[1:], len(key)) if len(key) else np.zeros(0, np.int64)
-            end = np.repeat(end, np.diff(np.append(0, end))) if len(end) else end
-            active, d = np.arange(len(key)), 0
-            a, b = [], []
-            while len(active):
-                d += 1
-                active = active[active + d < end[active]]
-                # In order of the earlier time: once too late, every later row of the bucket is too.
-                active = active[low[active + d] <= high[active] + minutes]
-                other = active + d
-                apart = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
-                near = (apart <= distance) & (label[active] != label[other])
-                a.append(label[active[near]])
-                b.append(label[other[near]])
-            a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            root = nodes[label_components(len(nodes), at[: len(a)], at[len(a) :])] if len(nodes) else nodes
-            star = nodes != root
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own_a, nodes[star]])), pa.array(np.concatenate([own_b, root[star]]))], names=["a", "b"])
-
-    return joined
-
-
 def _alike(x: np.ndarray, t: np.ndarray, y: np.ndarray, u: np.ndarray, similarity: float, limit: int) -> tuple[np.ndarray, np.ndarray]:
     s = x @ y.T
     return s, (s >= similarity) & (np.abs(t[:, None] - u[None, :]) <= limit)
@@ -293,17 +445,32 @@ def _verifier(dim: int, similarity: float, limit: int):
     return verify
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """Rows of components with `blocks` blocks, dealt to every unit they take part in."""
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("_x", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
-    return (
-        dealt.select(
-            "comp", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), F.when(F.col("_b") <= F.col("_x"), 0).otherwise(1).alias("side"),
-            (F.col("blocks") == 1).alias("whole"), "id", "t", "v",
-        )
-        .repartition("comp", "i", "j")
-        .sortWithinPartitions("comp", "i", "j")
-    )
+_UNIT = ["comp", "i", "j"]
+
+
+def _units(small: DataFrame | None, large: DataFrame | None, limit: int, block: int) -> DataFrame:
+    """Rows (comp, id, t, v), dealt to every unit they take part in. small components are a unit each; large ones are cut into
+    slices of time no shorter than the limit, and these into blocks, so that only blocks of a slice and the next can hold
+    records near in time."""
+    out = [] if small is None else [small.select("comp", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "id", "t", "v")]
+    if large is not None:
+        many, width = 1 << 24, max(limit, LEAST_SLICE)
+        sliced = large.withColumn("_s", F.floor(F.col("t") / F.lit(width)).cast("long"))
+        slices = materialize(sliced.groupBy("comp", "_s").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")), "slices")
+        near = slices.select(F.col("comp").alias("_c"), F.col("_s").alias("_to"), F.col("_blocks").alias("_there"))
+        # One pass over the wide rows: every slice knows its blocks and those beside it, three short lists of numbers.
+        beside = slices.join(near, (F.col("comp") == F.col("_c")) & F.col("_to").between(F.col("_s") - 1, F.col("_s") + 1))
+        beside = beside.groupBy("comp", "_s", "_blocks").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("_there") - 1), lambda k: F.col("_to") * many + k))).alias("_others"))
+        own = F.col("_s") * many + F.pmod(F.xxhash64("id"), F.col("_blocks"))
+        dealt = sliced.join(beside, ["comp", "_s"]).withColumn("_own", own).withColumn("_x", F.explode("_others"))
+        out.append(
+            dealt.select(
+                "comp", F.least("_own", "_x").alias("i"), F.greatest("_own", "_x").alias("j"), F.when(F.col("_own") <= F.col("_x"), 0).otherwise(1).alias("side"),
+                F.lit(False).alias("whole"), "id", "t", "v", *(c for c in large.columns if c not in ("comp", "id", "t", "v")),
+            )
+        )
+    units = reduce(DataFrame.unionByName, out)
+    return units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
 
 
 def _best_neighbour(dim: int, similarity: float, limit: int):
@@ -331,12 +498,11 @@ def _best_neighbour(dim: int, similarity: float, limit: int):
     return best
 
 
-def _split_large(large: DataFrame, verified: DataFrame, dim: int, similarity: float, limit: int) -> DataFrame:
+def _split_large(large: DataFrame, verified: DataFrame, dim: int, similarity: float, limit: int, block: int) -> DataFrame:
     """The medoids of components of several blocks: the rule of the module, a round over all tasks at a time."""
     left, done = materialize(verified.where("medoid is null").select("id", "degree"), "left"), None
     while left.count():
-        units = _units(large.join(left, "id")).join(left.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-        units = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+        units = _units(None, large.join(left, "id"), limit, block)
         best = units.mapInArrow(_best_neighbour(dim, similarity, limit), "id long, d long, best long").groupBy("id").agg(F.max(F.struct("d", -F.col("best"))).alias("_m"))
         best = materialize(best.select("id", (-F.col("_m.col2")).alias("best")), "best")
         heads = best.where("id = best").select(F.col("best").alias("_head"))
@@ -346,48 +512,82 @@ def _split_large(large: DataFrame, verified: DataFrame, dim: int, similarity: fl
     return done
 
 
+def candidate_pairs(slim: DataFrame, similarity: float, limit: int, dim: int) -> DataFrame:
+    """Pairs (a, b) of ids among which every chain of alike records is connected: those of labels (exact) and those of buckets
+    that their Jaccard similarity verifies. slim: `id long`, `t long` (microseconds), `v`."""
+    miss = math.acos(similarity) / math.pi
+    distance = min(64, round(64 * miss + SKETCH_DEVIATIONS * math.sqrt(64 * miss * (1 - miss))))
+    tasks = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sure, maybe = [], []
+    for start in range(0, BANDS, ROUND):
+        bands = range(start, min(start + ROUND, BANDS))
+        banded = slim.mapInArrow(_banded(dim, bands, tasks * PARTS_PER_TASK, similarity, limit, distance), _BANDED)
+        found = materialize(banded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_forest(limit, distance), _PAIRS), "candidates")
+        hot = found.where("key is not null").select("key", "block", "other", "side", "entries")
+        if hot.limit(1).count():
+            units = hot.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+            maybe.append(materialize(units.mapInArrow(_hot_forest(limit, distance), "a long, b long"), "hot"))
+        sure.append(found.where("sure").select("a", "b"))
+        maybe.append(found.where("not sure").select("a", "b"))
+    pairs = reduce(DataFrame.unionAll, maybe).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = slim.select("id", "v").mapInArrow(_set_rows(dim), "id long, tokens binary")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("_y")), "b")
+    alike = both.select("a", "b", "_x", "_y").mapInArrow(_jaccard(least_jaccard(similarity)), "a long, b long")
+    return materialize(reduce(DataFrame.unionAll, [*sure, alike]), "edges")
+
+
 def verified_records(
-    records: DataFrame, row_id: str, time: str, vector: str, min_similarity: float, max_days: float, dim: int, block: int = BLOCK, banding_: tuple[int, int] | None = None
+    records: DataFrame, row_id: str, time: str, vector: str, min_similarity: float, max_days: float, dim: int, block: int = BLOCK, lone: bool = True
 ) -> DataFrame:
     """Each record with its `degree` (how many are alike to it), `print` (of itself and those), `low` (the least id among
     them), `likeness` (mean cosine to them) and `medoid`; two are alike if their cosine is at least `min_similarity` and
-    their times at most `max_days` apart. Records without an id, a time or a usable vector are left out."""
+    their times at most `max_days` apart. Records without an id, a time or a usable vector are left out; so are those
+    alike to none and near none, unless `lone`."""
     limit = round(max_days * 86_400_000_000)
     slim = records.select(F.col(row_id).cast("long").alias("id"), micros(time).alias("t"), F.col(vector).cast("array<float>").alias("v")).where(
         "id is not null and t is not null and v is not null"
     )
-    bands, hashes = banding_ or banding(records.where(F.col(row_id).isNotNull() & F.col(time).isNotNull()).count())
-    miss = math.acos(min_similarity) / math.pi
-    distance = round(SKETCH_BITS * miss + SKETCH_DEVIATIONS * math.sqrt(SKETCH_BITS * miss * (1 - miss)))
-    banded = slim.mapInArrow(_banded(dim, bands, hashes, min_similarity, limit, distance), "key long, span long, label long, s1 long, s2 long")
-    edges = materialize(banded.repartition("key").sortWithinPartitions("key", "span").mapInArrow(_joined(limit, distance), "a long, b long"), "edges")
-    roots = connected_components(edges)
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", F.greatest(F.lit(1), F.ceil(F.col("_n") / block)).alias("blocks"))
-    placed = materialize(roots.join(sizes, "root").select(F.col("node").alias("_id"), F.col("root").alias("comp"), "blocks"), "placed")
-    if placed.count() <= BROADCAST_ROWS:
+    slim = materialize(slim, "vectors")  # read once for every round and twice after them
+    roots = connected_components(candidate_pairs(slim, min_similarity, limit, dim))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", (F.col("_n") > block).alias("large"))
+    placed = materialize(roots.join(sizes, "root").select(F.col("node").alias("_id"), F.col("root").alias("comp"), "large"), "placed")
+    n, cut = placed.agg(F.count(F.lit(1)), F.max("large")).first()
+    if n <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
-    grouped = slim.join(placed, F.col("id") == F.col("_id")).select("comp", "blocks", "id", "t", "v")
-    verified = _units(grouped).mapInArrow(_verifier(dim, min_similarity, limit), _VERIFIED)
+    grouped = slim.join(placed, F.col("id") == F.col("_id")).select("comp", "large", "id", "t", "v")
+    large = materialize(grouped.where("large").drop("large"), "large") if cut else None
+    verified = _units(grouped.where("not large").drop("large"), large, limit, block).mapInArrow(_verifier(dim, min_similarity, limit), _VERIFIED)
     verified = verified.groupBy("id").agg(
         F.first("comp").alias("comp"), F.sum("degree").alias("degree"), F.bit_xor("print").alias("print"), F.min("low").alias("low"),
         F.sum("likeness").alias("_total"), F.max("medoid").alias("medoid"),
     )
     verified = materialize(verified, "verified")
-    if verified.where("medoid is null").limit(1).count():
-        split = _split_large(materialize(grouped.where("blocks > 1"), "large"), verified, dim, min_similarity, limit)
+    if cut:
+        split = materialize(_split_large(large, verified, dim, min_similarity, limit, block), "split")
         verified = verified.join(split.withColumnRenamed("medoid", "_m"), "id", "left").withColumn("medoid", F.coalesce("medoid", "_m")).drop("_m")
-    alone = edges.select(F.col("a").alias("id")).distinct().join(roots.select(F.col("node").alias("id")), "id", "left_anti")
+    verified = verified.withColumn("likeness", F.when(F.col("degree") > 0, F.col("_total") / F.col("degree"))).drop("_total")
+    if not lone:
+        return verified
+    alone = slim.mapInArrow(_usable_ids(dim), "id long").join(roots.select(F.col("node").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
     alone = alone.select(
         "id", F.col("id").alias("comp"), F.lit(0).cast("long").alias("degree"), F.col("id").alias("print"), F.col("id").alias("low"),
-        F.lit(0.0).alias("_total"), F.col("id").alias("medoid"),
+        F.col("id").alias("medoid"), F.lit(None).cast("double").alias("likeness"),
     )
-    return verified.unionByName(alone).withColumn("likeness", F.when(F.col("degree") > 0, F.col("_total") / F.col("degree"))).drop("_total")
+    return verified.unionByName(alone)
+
+
+def _usable_ids(dim: int):
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable_matrix(batch.column(2), dim)[0]))], names=["id"])
+
+    return ids
 
 
 def complete_clusters(verified: DataFrame, least: int) -> DataFrame:
     """`cluster_id` (the least id) and `id` of clusters in which all are alike and nobody outside is like a member.
 
-    Records belong to such a cluster exactly if as many records as they have in their closed neighbourhood share it.
+    least: two or more. Records belong to such a cluster exactly if as many records as they have in their closed neighbourhood share it.
     """
     key = ["low", "print", "degree"]
     whole = verified.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") == F.col("degree") + 1) & (F.col("_n") >= least)).drop("_n")

@@ -15,19 +15,19 @@ DIM = 128
 LEAST = 3
 
 
-def _verified(spark: SparkSession, folder: str) -> DataFrame:
+def _verified(spark: SparkSession, folder: str, lone: bool) -> DataFrame:
     photos = drop_reimports(spread(table(spark, folder, "photos"), "id")).where(valid_date()).select("id", "date_taken", "feature_vector")
-    return verified_records(photos, "id", "date_taken", "feature_vector", MIN_SIMILARITY, MAX_DAYS, DIM)
+    return verified_records(photos, "id", "date_taken", "feature_vector", MIN_SIMILARITY, MAX_DAYS, DIM, lone=lone)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Members of the clusters of three or more in which all are alike and none is like a photo outside."""
-    return complete_clusters(_verified(spark, folder), LEAST).select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("id").cast("int").alias("photo_id"))
+    return complete_clusters(_verified(spark, folder, False), LEAST).select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("id").cast("int").alias("photo_id"))
 
 
 def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Every photo with its cluster, named by the medoid, the cluster's size and its most typical photos."""
-    found = medoid_clusters(_verified(spark, folder))
+    found = medoid_clusters(_verified(spark, folder, True))
     return found.select(F.col("id").cast("int").alias("photo_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "size", "typical")
 
 

@@ -1,10 +1,11 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fotoloom.llm import clusters as C
-from fotoloom.llm.components import connected_components, label_components
+from fotoloom.llm.components import connected_components, label_components, spanning_forest
 
 SCHEMA = "id int, at timestamp_ntz, v array<float>, comp string, t int, _n int"  # with clashing names
 DIM = 16
@@ -97,14 +98,86 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_more_rows_need_more_hashes():
-    assert C.banding(1000)[1] == 2 and C.banding(10**9)[1] > 2
-    assert C.banding(10**9)[0] > C.banding(1000)[0]
+def test_components_by_rounds(spark):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert sorted(map(tuple, connected_components(df, one_task=0).collect())) == sorted(map(tuple, connected_components(df).collect()))
 
 
-def test_wide_labels_send_a_sketch_of_each_neighbourhood():
-    from fotoloom.llm.clusters import _neighbourhoods
+def test_spanning_forest_is_lightest():
+    rng = np.random.default_rng(7)
+    a, b, w = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    kept = spanning_forest(a, b, w)
+    label, want = list(range(60)), 0
+    for k in np.argsort(w, kind="stable"):
+        if label[a[k]] != label[b[k]]:
+            want += w[k]
+            label = [label[b[k]] if x == label[a[k]] else x for x in label]
+    assert len(kept) == 60 - len(set(label)) and w[kept].sum() == want
+    assert len(spanning_forest(a[:0], b[:0], w[:0])) == 0
+
 
+def test_wide_labels_send_a_sketch_of_each_neighbourhood():
     key, label = np.array([1, 1, 1, 1, 2, 2]), np.array([5, 5, 5, 6, 6, 6])
-    sketches = np.array([[0, 0], [7, 0], [255, 255], [255, 255], [0, 0], [1, 0]], np.uint64)
-    assert _neighbourhoods(key, label, sketches, 4).tolist() == [0, 0, 2, 3, 4, 4]
+    sketches = np.array([0, 7, 255, 255, 0, 1], np.uint64)
+    assert C._neighbourhoods(key, label, sketches, 4).tolist() == [0, 0, 2, 3, 4, 4]
+
+
+@pytest.mark.parametrize("hot", [16, 16_384])
+def test_the_joins_and_blocks_of_large_tables(spark, monkeypatch, hot):
+    """Every way that only large inputs take gives the same: shuffled placements, rounds of components, hot buckets in blocks."""
+    rows = made(4, copies=150)
+    ways = []
+    for large in (False, True):
+        if large:
+            monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+            monkeypatch.setattr(C, "HOT", hot)
+            monkeypatch.setattr(C, "CHUNK", 40)  # many labels, so that buckets hold many rows
+            monkeypatch.setattr(C.connected_components, "__defaults__", ("a", "b", 0))
+        v = C.verified_records(table(spark, rows), "id", "at", "v", 0.85, 30, DIM)
+        ways.append((sorted(map(tuple, C.complete_clusters(v, 3).collect())), sorted((r.id, r.cluster_id, r.size, tuple(r.typical)) for r in C.medoid_clusters(v).collect())))
+    assert ways[0] == ways[1]
+
+
+def test_a_bucket_of_a_hundred_thousand_rows():
+    """All alike and in one bucket: the forest joins them all, in bounded pieces and memory."""
+    n, kind = 100_000, C._entry(True)
+    e = np.zeros(n, kind)
+    e["id"], e["low"] = np.arange(n), np.arange(n) // 50
+    packed = e.tobytes()
+    batch = pa.RecordBatch.from_pylist([dict(part=0, wide=True, entries=packed, a=[], b=[])], schema=pa.schema(
+        [("part", pa.int32()), ("wide", pa.bool_()), ("entries", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))]))
+    units = {}
+    for out in C._forest(C.MINUTE, 5)(iter([batch])):
+        for r in out.select(["key", "side", "block", "other", "entries"]).to_pylist():
+            if r["key"] is not None:
+                assert len(r["entries"]) <= C.HOT * kind.itemsize
+                units.setdefault((r["block"], r["other"]), []).append(r)
+    blocks = -(-n // C.HOT)
+    assert len(units) == blocks * (blocks + 1) // 2
+    rows = [dict(key=0, block=b, other=o, side=r["side"], entries=r["entries"]) for (b, o), rs in sorted(units.items()) for r in rs]
+    a, b = [], []
+    for r in C._hot_forest(C.MINUTE, 5)(iter([pa.RecordBatch.from_pylist([dict(key=x["key"], block=x["block"], other=x["other"], side=x["side"], entries=x["entries"]) for x in rows])])):
+        a.append(np.asarray(r.column(0)))
+        b.append(np.asarray(r.column(1)))
+    a, b = np.concatenate(a), np.concatenate(b)
+    assert len(np.unique(label_components(n, a, b))) == 1
+
+
+def test_sets_of_near_vectors_share_more():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 128))
+    y = 0.87 * x / np.linalg.norm(x, axis=1)[:, None] + np.sqrt(1 - 0.87**2) * rng.normal(size=x.shape) / np.sqrt(128)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    ids = pa.array(np.arange(400))
+
+    def packed(m):
+        column = pa.array(m.astype(np.float32).tolist(), pa.list_(pa.float32()))
+        return next(C._set_rows(128)(iter([pa.RecordBatch.from_arrays([ids, column], names=["id", "v"])]))).column(1)
+
+    sx, sy = packed(x), packed(y)
+    check = C._jaccard(C.least_jaccard(0.85))
+    near = next(check(iter([pa.RecordBatch.from_arrays([ids, ids, sx, sy], names=list("abxy"))])))
+    far = next(check(iter([pa.RecordBatch.from_arrays([ids, ids, sx, pa.array(sy.to_pylist()[::-1], pa.binary())], names=list("abxy"))])))
+    assert near.num_rows >= 396 and far.num_rows == 0
