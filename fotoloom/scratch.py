@@ -23,16 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it from there.
 
     The files outlive any executor, so a lost one costs at most the tasks that it was running. They stay until
-    `release` or the end of the driver's process, for lazily evaluated results may still refer to them.
+    `release` or the end of the driver's process, for lazily evaluated results may still refer to them. options: of the writer.
     """
     path = f"{shared_folder(df.sparkSession)}/fotoloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The shuffles behind the table are of no more use; their files go once the driver notices that nothing refers to them.
+    # The shuffles behind earlier tables are of no more use; their files go once the driver notices that nothing refers to them.
     df.sparkSession.sparkContext._jvm.System.gc()
+    df.write.options(**options).parquet(path)
     if not _written:
         atexit.register(release)
     _written.append(path)
