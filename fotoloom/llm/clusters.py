@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotoloom.functions.arrays import unit_rows, usable_matrix
+from fotoloom.functions.arrays import unit_rows
 from fotoloom.functions.times import micros
 from fotoloom.llm.components import connected_components, label_components, spanning_forest
+from fotoloom.llm.packed import packed_vectors, unpacked
 from fotoloom.scratch import materialize
 
 GROUPS = 3
-PROJECTIONS = 256  # of a group
+PROJECTIONS = 256  # of a group; a place fits a byte
 TOKENS = 16  # of a group
 BANDS = 96
 ROUND = 32
@@ -93,9 +94,12 @@ class Signer:
         """The tokens of each group (groups x tokens x rows) and the projections."""
         y = x @ self.axes
         out = np.empty((GROUPS, TOKENS, len(x)), np.int16)
+        places = np.arange(PROJECTIONS, dtype=np.uint32)
         for g in range(GROUPS):
-            z = y[:, g * PROJECTIONS : (g + 1) * PROJECTIONS]
-            top = np.argpartition(np.abs(z), PROJECTIONS - TOKENS, axis=1)[:, PROJECTIONS - TOKENS :]
+            z = np.ascontiguousarray(y[:, g * PROJECTIONS : (g + 1) * PROJECTIONS])
+            # How far each reaches, without sign, in the upper bits and its place in the lower eight: one sort key, no ties.
+            reach = (z.view(np.uint32) & np.uint32(0x7FFFFF00)) | places
+            top = (np.partition(reach, PROJECTIONS - TOKENS, axis=1)[:, PROJECTIONS - TOKENS :] & np.uint32(255)).astype(np.int64)
             out[g] = (2 * top + (np.take_along_axis(z, top, 1) > 0)).T
         return out, y
 
@@ -206,10 +210,9 @@ def _banded(dim: int, bands: range, parts: int, similarity: float, limit: int, d
 
         count = 0
         for batch in batches:
-            ok, m = usable_matrix(batch.column(2), dim)
-            if len(m):
-                held.append((np.asarray(batch.column(0))[ok], np.asarray(batch.column(1))[ok], m))
-                count += len(m)
+            if batch.num_rows:
+                held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), unpacked(batch.column(2), dim)))
+                count += batch.num_rows
             if count >= CHUNK:
                 yield from chunk()
                 count = 0
@@ -323,15 +326,14 @@ def _set_rows(dim: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(dim)
         for batch in batches:
-            ok, m = usable_matrix(batch.column(1), dim)
-            if len(m):
-                x, out = unit_rows(m).astype(np.float32), []
+            if batch.num_rows:
+                x, out = unit_rows(unpacked(batch.column(1), dim)).astype(np.float32), []
                 for at in range(0, len(x), 8192):
                     t = sign.sets(x[at : at + 8192])[0] + (np.arange(GROUPS, dtype=np.int16) * (2 * PROJECTIONS))[:, None, None]
                     out.append(np.sort(t.reshape(GROUPS * TOKENS, -1).T, axis=1))
                 packed = np.ascontiguousarray(np.vstack(out)).astype("<i2")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(batch.column(0))[ok]), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "tokens"]
+                    [batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "tokens"]
                 )
 
     return rows
@@ -412,7 +414,7 @@ def _verifier(dim: int, similarity: float, limit: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 3, 8_192):
             comp, i, j, side, whole, ids, t = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in columns[:7])
-            x = unit_rows(usable_matrix(columns[7], dim)[1])
+            x = unit_rows(unpacked(columns[7], dim))
             hashed = _mixed(ids.view(np.uint64))
             n = len(ids)
             degree, prints, low, total = np.zeros(n, np.int64), np.zeros(n, np.uint64), ids.copy(), np.zeros(n)
@@ -479,7 +481,7 @@ def _best_neighbour(dim: int, similarity: float, limit: int):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 3, 8_192):
             comp, i, j, side, _, ids, t = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in columns[:7])
-            x, degree = unit_rows(usable_matrix(columns[7], dim)[1]), np.asarray(columns[8])
+            x, degree = unit_rows(unpacked(columns[7], dim)), np.asarray(columns[8])
             n = len(ids)
             order = np.lexsort((ids, -degree))
             rank = np.empty(n, np.int64)
@@ -514,15 +516,18 @@ def _split_large(large: DataFrame, verified: DataFrame, dim: int, similarity: fl
 
 def candidate_pairs(slim: DataFrame, similarity: float, limit: int, dim: int) -> DataFrame:
     """Pairs (a, b) of ids among which every chain of alike records is connected: those of labels (exact) and those of buckets
-    that their Jaccard similarity verifies. slim: `id long`, `t long` (microseconds), `v`."""
+    that their Jaccard similarity verifies. slim: `id long`, `t long` (microseconds), `v` (packed)."""
     miss = math.acos(similarity) / math.pi
     distance = min(64, round(64 * miss + SKETCH_DEVIATIONS * math.sqrt(64 * miss * (1 - miss))))
     tasks = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sure, maybe = [], []
     for start in range(0, BANDS, ROUND):
         bands = range(start, min(start + ROUND, BANDS))
-        banded = slim.mapInArrow(_banded(dim, bands, tasks * PARTS_PER_TASK, similarity, limit, distance), _BANDED)
-        found = materialize(banded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_forest(limit, distance), _PAIRS), "candidates")
+        # Nothing may go on referring to a round's plan, or its shuffle stays.
+        found = materialize(
+            slim.mapInArrow(_banded(dim, bands, tasks * PARTS_PER_TASK, similarity, limit, distance), _BANDED)
+            .repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_forest(limit, distance), _PAIRS), "candidates"
+        )
         hot = found.where("key is not null").select("key", "block", "other", "side", "entries")
         if hot.limit(1).count():
             units = hot.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
@@ -547,7 +552,7 @@ def verified_records(
     slim = records.select(F.col(row_id).cast("long").alias("id"), micros(time).alias("t"), F.col(vector).cast("array<float>").alias("v")).where(
         "id is not null and t is not null and v is not null"
     )
-    slim = materialize(slim, "vectors")  # read once for every round and twice after them
+    slim = materialize(packed_vectors(slim, dim), "vectors", compression="zstd")  # read once a round and three times after
     roots = connected_components(candidate_pairs(slim, min_similarity, limit, dim))
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", (F.col("_n") > block).alias("large"))
     placed = materialize(roots.join(sizes, "root").select(F.col("node").alias("_id"), F.col("root").alias("comp"), "large"), "placed")
@@ -568,7 +573,7 @@ def verified_records(
     verified = verified.withColumn("likeness", F.when(F.col("degree") > 0, F.col("_total") / F.col("degree"))).drop("_total")
     if not lone:
         return verified
-    alone = slim.mapInArrow(_usable_ids(dim), "id long").join(roots.select(F.col("node").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    alone = slim.select("id").join(roots.select(F.col("node").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
     alone = alone.select(
         "id", F.col("id").alias("comp"), F.lit(0).cast("long").alias("degree"), F.col("id").alias("print"), F.col("id").alias("low"),
         F.col("id").alias("medoid"), F.lit(None).cast("double").alias("likeness"),
@@ -576,14 +581,6 @@ def verified_records(
     return verified.unionByName(alone)
 
 
-def _usable_ids(dim: int):
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable_matrix(batch.column(2), dim)[0]))], names=["id"])
-
-    return ids
-
-
 def complete_clusters(verified: DataFrame, least: int) -> DataFrame:
     """`cluster_id` (the least id) and `id` of clusters in which all are alike and nobody outside is like a member.
 
