@@ -4,19 +4,19 @@
    neighbours is cut into balanced parts by recursive bisection: each half starts at the median along the leading
    direction and is improved by swapping equal numbers of nodes while that cuts fewer edges.
 2. A small classifier (one hidden layer) learns, from a sampled vector, the parts in which its neighbours lie.
-3. Every vector of the collection belongs to its most probable part; nothing is stored or shuffled for that, for the
-   classifier is applied where the vectors are read.
+3. Every vector of the collection belongs to its most probable part.
 4. How many parts a query must visit is measured, not guessed: `PILOTS` vectors that the classifier has not seen are compared
    with the whole collection, and the least number of parts that finds `recall` of their true neighbours is taken.
-5. Queries go, in blocks of at most `QUERY_BLOCK`, to the tasks that read the collection. Each reranks by exact cosine
-   what lies in the parts that the query visits, and keeps k per query; a query's few best of every task are merged.
+5. Queries counted to be few (`FEW_QUERIES` at most) go to the tasks that read the collection; nothing is shuffled but what
+   these find. More of them meet the collection in a shuffle: each vector of the collection goes once to its part (large
+   parts are cut into slices by hash), each query to the parts that it visits, whatever the number of queries.
+6. What meets is reranked by exact cosine; a task keeps k of every query, and the best of all tasks are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,14 +25,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotoloom.functions.arrays import unit_rows, usable_matrix
+from fotoloom.llm.packed import packed, packed_vectors, unpacked
 from fotoloom.scratch import materialize
 
-SAMPLE = 10_240
+SAMPLE = 12_288
 PILOTS = 192
-QUERY_BLOCK = 16_384
-MAX_PARTS = 128
-ROWS_PER_PART = 64  # of the sample, at least
+#: Queries that are broadcast at most.
+FEW_QUERIES = 4_096
+MAX_PARTS = 512
+ROWS_PER_PART = 24  # of the sample, at least
+LEAST_PART = 96  # rows of the collection in a part, about, at least
 CHUNK = 32_768
+#: Vectors of the collection in a slice of a part, about: a task holds one slice at a time.
+SLICE = 65_536
+MARGIN = 6  # more than k are kept in single precision
 
 
 @dataclass
@@ -107,7 +113,7 @@ def balanced_parts(x: np.ndarray, links: np.ndarray, parts: int) -> np.ndarray:
     return label
 
 
-def fit(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128, epochs: int = 12, seed: int = 0) -> Partitioner:
+def fit(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128, epochs: int = 8, seed: int = 0) -> Partitioner:
     """Learn the parts of a sample of unit rows. Deterministic for the same rows in the same order."""
     rng, dim = np.random.default_rng(seed), x.shape[1]
     x = x.astype(np.float32)
@@ -143,6 +149,13 @@ def fit(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128, epoc
     return Partitioner(*w)
 
 
+def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are usable, and those as a matrix, of vectors packed (all usable) or not."""
+    if pa.types.is_binary(column.type):
+        return np.ones(len(column), bool), unpacked(column, dim)
+    return usable_matrix(column, dim)
+
+
 class _Best:
     """The best few (similarity, id) of each query so far."""
 
@@ -186,7 +199,7 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
 
     Similarities are taken in single precision first; the best k and a margin are then computed in double.
     """
-    keep = k + 6
+    keep = k + MARGIN
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, ids, rows, held = _Best(len(vectors), keep), [], [], 0
@@ -220,7 +233,7 @@ def _search(model: Partitioner, vectors: np.ndarray, own: np.ndarray, visits: np
                 found[k] = (mine[at], v[at], h[at])
 
         for batch in batches:
-            ok, m = usable_matrix(batch.column(1), dim)
+            ok, m = _vectors(batch.column(1), dim)
             if len(m):
                 ids.append(np.asarray(batch.column(0))[ok])
                 rows.append(m)
@@ -257,7 +270,7 @@ def _pull(df: DataFrame, dim: int, most: int | None = None) -> tuple[np.ndarray,
     t = df.select("id", "v", *(["h"] if most else [])).toArrow()
     if not t.num_rows:
         return np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
-    ok, m = usable_matrix(t.column("v"), dim)
+    ok, m = _vectors(t.column("v").combine_chunks(), dim)
     ids = np.asarray(t.column("id"))[ok]
     if most:
         order = np.lexsort((ids, np.asarray(t.column("h"))[ok]))[:most]
@@ -266,16 +279,17 @@ def _pull(df: DataFrame, dim: int, most: int | None = None) -> tuple[np.ndarray,
 
 
 def train(corpus: DataFrame, dim: int, k: int, recall: float) -> tuple[Partitioner, int]:
-    """The classifier, and how many parts to visit for the recall wanted. corpus: `id long`, `v array<float>`."""
+    """The classifier, and how many parts to visit for the recall wanted. corpus: `id long`, `v` (array or packed)."""
     # The rows with the least hashes, as many as wanted and a few more to choose from: nothing else leaves the executors.
-    share = min(1.0, 1.2 * (SAMPLE + PILOTS) / max(1, corpus.select("id").count()))
+    rows = corpus.select("id").count()
+    share = min(1.0, 1.2 * (SAMPLE + PILOTS) / max(1, rows))
     least = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
     ids, x = _pull(corpus.where(least & F.col("v").isNotNull()).withColumn("h", F.xxhash64("id")), dim, SAMPLE + PILOTS)
     x = unit_rows(x) if len(x) else x
     pilots = min(PILOTS, len(ids) // 8)
     seen = x[pilots:]
     parts = 1
-    while parts * 2 <= MAX_PARTS and len(seen) >= parts * 2 * ROWS_PER_PART:
+    while parts * 2 <= MAX_PARTS and len(seen) >= parts * 2 * ROWS_PER_PART and rows >= parts * 2 * LEAST_PART:
         parts *= 2
     model = fit(seen, parts)
     if model.parts == 1 or not pilots:
@@ -286,10 +300,119 @@ def train(corpus: DataFrame, dim: int, k: int, recall: float) -> tuple[Partition
     needed = np.sort(rank[true["q"].to_numpy(), true["part"].to_numpy()])
     if not len(needed):
         return model, model.parts
-    return model, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    # However they are chosen, the parts visited should hold more than k rows.
+    held = np.cumsum(np.sort(np.bincount(model.home(seen.astype(np.float32)), minlength=parts))) * (rows / len(seen))
+    return model, max(int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1, min(parts, int(np.searchsorted(held, 3 * (k + 1))) + 1))
+
+
+def _parts(model: Partitioner, dim: int, slices: np.ndarray | None = None):
+    """Rows (id, v packed) with their unit: their part, and within it a slice by hash, as `part * 65536 + slice`."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = np.asarray(batch.column(0)), unpacked(batch.column(1), dim)
+            home = model.home(unit_rows(x).astype(np.float32))
+            if slices is None:
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32))], names=["part"])
+            else:
+                hashed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                unit = (home << 16) + (hashed % slices[home].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(np.zeros(len(ids), np.int8)), batch.column(0), batch.column(1)], names=["unit", "kind", "id", "v"])
+
+    return parts
+
+
+def _visits(model: Partitioner, dim: int, visit: int, slices: np.ndarray):
+    """Queries (id, v packed), once for each slice of each part that they visit."""
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                x = unpacked(batch.column(1), dim)
+                scores = model.scores(unit_rows(x).astype(np.float32))
+                chosen = np.argpartition(-scores, visit - 1, axis=1)[:, :visit] if visit < model.parts else np.tile(np.arange(model.parts), (len(x), 1))
+                n = slices[chosen]
+                who = np.repeat(np.arange(len(x)), n.sum(1))
+                of = np.repeat(chosen.ravel(), n.ravel())
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(n.ravel()) - n.ravel(), n.ravel())
+                unit = (of << 16) + nth
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unit.astype(np.int32)), pa.array(np.ones(len(of), np.int8)), batch.column(0).take(pa.array(who)), packed(x[who])], names=["unit", "kind", "id", "v"]
+                )
+
+    return visits
+
+
+def _rerank(k: int, dim: int):
+    """Of rows in order of unit and kind, the vectors of a slice before the queries that visit it: each query's k best of the
+    task, by exact cosine."""
+    keep = k + MARGIN
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, ready = -1, [], None
+        found: list[tuple] = []
+        many = 0
 
-def nearest(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, query_id: str, query_vector: str, k: int, dim: int, recall: float = 0.97) -> DataFrame:
+        def best() -> pa.RecordBatch:
+            q, i, s = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return pa.RecordBatch.from_arrays([pa.array(c[top]) for c in (q, i, s)], names=["q", "id", "sim"])
+
+        for batch in batches:
+            unit, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            ids, x = np.asarray(batch.column(2)), unpacked(batch.column(3), dim)
+            change = np.flatnonzero((unit[1:] != unit[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip(np.append(0, change), np.append(change, len(unit))):
+                if a == b:
+                    continue
+                if unit[a] != here:
+                    here, held, ready = unit[a], [], None
+                if kind[a] == 0:
+                    held.append((ids[a:b].copy(), x[a:b].copy()))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    i, v = (np.concatenate(c) for c in zip(*held))
+                    ready = (i, v, unit_rows(v).astype(np.float32))
+                i, v, single = ready
+                for at in range(a, b, 256):
+                    mine, q = ids[at : min(at + 256, b)], unit_rows(x[at : min(at + 256, b)])
+                    s = q.astype(np.float32) @ single.T
+                    n = min(keep, s.shape[1])
+                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    exact = np.einsum("qd,qnd->qn", q, unit_rows(v[top.ravel()]).reshape(*top.shape, dim))
+                    other = i[top] != mine[:, None]
+                    found.append((np.repeat(mine, n)[other.ravel()], i[top][other], exact[other]))
+                    many += int(other.sum())
+                if many > 4_000_000:
+                    yield best()
+                    found, many = [], 0
+        if found:
+            yield best()
+
+    return rerank
+
+
+def _shuffled(base: DataFrame, asked: DataFrame, model: Partitioner, visit: int, k: int, dim: int) -> DataFrame:
+    """Queries of any number against the collection, each vector of which is shuffled once; both `id long`, `v` packed."""
+    count = np.zeros(model.parts, np.int64)
+    for r in base.mapInArrow(_parts(model, dim), "part int").groupBy("part").count().collect():  # at most MAX_PARTS rows
+        count[r["part"]] = r["count"]
+    slices = np.maximum(1, -(-count // SLICE))
+    rows = "unit int, kind byte, id long, v binary"
+    met = base.mapInArrow(_parts(model, dim, slices), rows).unionAll(asked.mapInArrow(_visits(model, dim, visit, slices), rows))
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(tasks, "unit").sortWithinPartitions("unit", "kind").mapInArrow(_rerank(k, dim), "q long, id long, sim double")
+    return _best_of_all(found, k).select(F.col("q").alias("query_id"), F.col("id").alias("neighbour_id"), F.col("sim").alias("similarity"), "rank")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, query_id: str, query_vector: str, k: int, dim: int, recall: float = 0.92) -> DataFrame:
     """`query_id`, `neighbour_id`, `similarity`, `rank`: for each query the k most similar other rows of the corpus.
 
     A query's own id is never its neighbour. Defined results: rows and queries without an id or a usable vector (`dim`
@@ -300,23 +423,24 @@ def nearest(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, que
     spark = corpus.sparkSession
     base = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null")
     asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<float>").alias("v")).where("id is not null and v is not null")
+    zero = F.lit(0).cast("long").alias("t")
+    asked = materialize(packed_vectors(asked.dropDuplicates(["id"]).select("id", zero, "v"), dim).drop("t"), "queries", compression="zstd")
+    number = asked.count()
+    if number > FEW_QUERIES:
+        # Read four times: for the sample, the pilots, the sizes of the parts and the shuffle.
+        base = materialize(packed_vectors(base.where("v is not null").select("id", zero, "v"), dim).drop("t"), "collection", compression="zstd")
+        model, visit = train(base, dim, k, recall)
+        return _shuffled(base, asked, model, visit, k, dim)
+    empty = spark.createDataFrame([], "query_id long, neighbour_id long, similarity double, rank int")
+    if not number:
+        return empty
     model, visit = train(base, dim, k, recall)
-    asked = materialize(asked.dropDuplicates(["id"]), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = []
-    for b in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        ids, x = _pull(mine, dim)  # at most about QUERY_BLOCK rows
-        if not len(ids):
-            continue
-        scores = model.scores(unit_rows(x).astype(np.float32))
-        chosen = np.argpartition(-scores, visit - 1, axis=1)[:, :visit] if visit < model.parts else np.tile(np.arange(model.parts), (len(x), 1))
-        flat, who = chosen.ravel(), np.repeat(np.arange(len(x)), chosen.shape[1])
-        order = np.argsort(flat, kind="stable")
-        visits = np.split(who[order], np.searchsorted(flat[order], np.arange(1, model.parts)))
-        best = _best_of_all(base.mapInArrow(_search(model, x, ids, visits, k, dim), _FOUND), k)
-        names = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(ids), dtype=np.int32), "query_id": ids}))
-        out.append(best.join(F.broadcast(names), "q").select("query_id", F.col("id").alias("neighbour_id"), F.col("sim").alias("similarity"), "rank"))
-    if not out:
-        return spark.createDataFrame([], "query_id long, neighbour_id long, similarity double, rank int")
-    return reduce(DataFrame.unionAll, out)
+    ids, x = _pull(asked, dim)  # at most FEW_QUERIES rows
+    scores = model.scores(unit_rows(x).astype(np.float32))
+    chosen = np.argpartition(-scores, visit - 1, axis=1)[:, :visit] if visit < model.parts else np.tile(np.arange(model.parts), (len(x), 1))
+    flat, who = chosen.ravel(), np.repeat(np.arange(len(x)), chosen.shape[1])
+    order = np.argsort(flat, kind="stable")
+    visits = np.split(who[order], np.searchsorted(flat[order], np.arange(1, model.parts)))
+    best = _best_of_all(base.mapInArrow(_search(model, x, ids, visits, k, dim), _FOUND), k)
+    names = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(ids), dtype=np.int32), "query_id": ids}))
+    return best.join(F.broadcast(names), "q").select("query_id", F.col("id").alias("neighbour_id"), F.col("sim").alias("similarity"), "rank")

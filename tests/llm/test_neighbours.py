@@ -35,12 +35,15 @@ def test_recall_and_exact_similarities(spark):
     assert hits / (10 * 150) >= 0.9 and first > 130
 
 
-def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+def test_many_queries_by_shuffle_give_the_same(spark, monkeypatch):
     _, df = corpus(spark, 600)
     asked = df.where("id % 5 = 0")
-    whole = sorted(map(tuple, N.nearest(df, asked, "id", "v", "id", "v", 3, DIM).collect()))
-    monkeypatch.setattr(N, "QUERY_BLOCK", 30)
-    assert sorted(map(tuple, N.nearest(df, asked, "id", "v", "id", "v", 3, DIM).collect())) == whole
+    few = N.nearest(df, asked, "id", "v", "id", "v", 3, DIM).collect()
+    monkeypatch.setattr(N, "FEW_QUERIES", 30)
+    monkeypatch.setattr(N, "SLICE", 100)  # parts of several slices
+    many = N.nearest(df, asked, "id", "v", "id", "v", 3, DIM).collect()
+    assert sorted((r.query_id, r["rank"], r.neighbour_id) for r in many) == sorted((r.query_id, r["rank"], r.neighbour_id) for r in few)
+    assert max(abs(a.similarity - b.similarity) for a, b in zip(sorted(few), sorted(many))) < 1e-12
 
 
 def test_parts_are_balanced():
@@ -57,3 +60,8 @@ def test_few_rows_ties_and_unusable_vectors(spark):
     assert [(r.query_id, r.neighbour_id) for r in got] == [(3, 4), (3, 5), (4, 3), (4, 5), (5, 3), (5, 4)]
     assert N.nearest(df.limit(0), df, "id", "v", "id", "v", 10, DIM).count() == 0
     assert N.nearest(df, df.limit(0), "id", "v", "id", "v", 10, DIM).count() == 0
+
+
+def test_unusable_vectors_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW_QUERIES", 0)
+    test_few_rows_ties_and_unusable_vectors(spark)
