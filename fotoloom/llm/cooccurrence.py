@@ -1,16 +1,21 @@
 """How often items stand in the same basket, and how much more often than chance.
 
-Baskets of up to `block` items give their pairs in place. Larger ones are cut into chunks of `block` items; every pair of
-chunks becomes a row of its own, and these rows are dealt out over all tasks, so that no task ever multiplies out more
-than `block`^2 pairs at once and one huge basket occupies the whole cluster. Both kinds of pairs meet in one aggregation
-that combines before its shuffle: what is shuffled is bounded by the different pairs of each task.
+Baskets of up to `block` items give their pairs in place. Larger ones are cut into chunks of `block` items, which leave the
+task of their basket as rows of their own; from wherever they come to lie, each goes to every unit of two chunks that it is
+part of, so that no task ever multiplies out more than `block`^2 pairs at once and one huge basket occupies the whole
+cluster. Pairs of both kinds, single items (as pairs with themselves) and baskets (as pairs of nulls) meet in one aggregation
+that combines before its shuffle: the input is read once, and what is shuffled is bounded by the different pairs of each task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fotoloom.scratch import materialize
+
 BLOCK = 64
 
 
@@ -32,22 +37,34 @@ def _pairs_across(left: str, right: str) -> Column:
     )
 
 
-def pair_counts(baskets: DataFrame, items: str, block: int = BLOCK) -> DataFrame:
-    """`a` < `b` (by code points) and `n_ab`, the baskets that hold both. `items`: sorted lists without repeats."""
-    baskets = baskets.select(F.col(items).alias("_items")).where(F.size("_items") >= 2)
-    ordinary = baskets.where(F.size("_items") <= block).select(F.explode(_pairs_within("_items")).alias("_p"))
-    chunked = baskets.where(F.size("_items") > block).select(
-        F.transform(F.sequence(F.lit(0), F.expr(f"(size(_items) - 1) div {block}")), lambda k: F.slice("_items", k * block + 1, block)).alias("_chunks")
-    )
-    dealt = (
-        chunked.select("_chunks", F.posexplode("_chunks").alias("_i", "_left"))
-        .select("_i", "_left", F.posexplode("_chunks").alias("_j", "_right"))
-        .where("_i <= _j")
-        .repartition(F.xxhash64("_left", "_right"))
+def _chunk_pairs(tidy: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of baskets beyond `block` items: their chunks (`_k` the basket, `_i`, `_left`, `_m` of them), and two of them a row."""
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_items) - 1) div {block}")), lambda k: F.slice("_items", k * block + 1, block))
+    large = tidy.where(F.size("_items") > block).select(F.monotonically_increasing_id().alias("_k"), cut.alias("_chunks"))
+    # Written, so that a basket's number stays the same in every use; dealt, so that its chunks do not stay in one task.
+    chunks = materialize(large.select("_k", F.size("_chunks").alias("_m"), F.posexplode("_chunks").alias("_i", "_left")), "chunks")
+    chunks = chunks.repartition(int(tidy.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k", "_i")
+    sent = chunks.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).where("_x <> _i")
+    first = F.col("_i") < F.col("_x")
+    units = sent.groupBy("_k", F.least("_i", "_x").alias("_lo"), F.greatest("_i", "_x").alias("_hi")).agg(
+        F.first(F.when(first, F.col("_left")), ignorenulls=True).alias("_left"), F.first(F.when(~first, F.col("_left")), ignorenulls=True).alias("_right")
     )
-    same = F.when(F.col("_i") == F.col("_j"), _pairs_within("_left")).otherwise(_pairs_across("_left", "_right"))
-    large = dealt.select(F.explode(same).alias("_p"))
-    return ordinary.unionAll(large).groupBy(F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(F.count(F.lit(1)).alias("n_ab"))
+    return chunks, units
+
+
+def pair_counts(baskets: DataFrame, items: str, block: int = BLOCK) -> DataFrame:
+    """`a`, `b`, `n`: the baskets that hold both, a < b by code points; those that hold an item where a = b; all that hold one
+    where both are null. `items`: sorted lists without repeats, not empty."""
+    tidy = baskets.select(F.col(items).alias("_items")).where(F.size("_items") > 0)
+    singly = lambda c: F.transform(F.col(c), lambda t: F.struct(t.alias("a"), t.alias("b")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    chunks, units = _chunk_pairs(tidy, block)
+    cells = [
+        tidy.where(F.size("_items") <= block).select(F.explode(F.concat(_pairs_within("_items"), singly("_items"), whole)).alias("_p")),
+        chunks.select(F.explode(F.concat(_pairs_within("_left"), singly("_left"), F.when(F.col("_i") == 0, whole).otherwise(F.slice(whole, 1, 0)))).alias("_p")),
+        units.select(F.explode(_pairs_across("_left", "_right")).alias("_p")),
+    ]
+    return reduce(DataFrame.unionAll, cells).groupBy(F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cooccurrence(baskets: DataFrame, items: str, block: int = BLOCK) -> DataFrame:
@@ -58,11 +75,12 @@ def cooccurrence(baskets: DataFrame, items: str, block: int = BLOCK) -> DataFram
     n); equal baskets count each; an empty table gives no pairs; other columns are ignored.
     """
     tidy = baskets.select(F.sort_array(tidy_items(items)).alias("_items")).where(F.size("_items") > 0)
-    pairs = pair_counts(tidy, "_items", block)
-    single = tidy.select(F.explode("_items").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
-    n = tidy.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = materialize(pair_counts(tidy, "_items", block), "counts")  # no more rows than there are different pairs
+    single = counts.where("a = b").select(F.col("a").alias("_t"), F.col("n").alias("_n"))
+    n = counts.where("a is null").select("n").scalar()
     return (
-        pairs.join(single.select(F.col("_t").alias("a"), F.col("_n").alias("n_a")), "a")
+        counts.where("a < b").withColumnRenamed("n", "n_ab")
+        .join(single.select(F.col("_t").alias("a"), F.col("_n").alias("n_a")), "a")
         .join(single.select(F.col("_t").alias("b"), F.col("_n").alias("n_b")), "b")
         .withColumn("n", n)
         .withColumn("lift", F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))

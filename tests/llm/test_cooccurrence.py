@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from fotoloom.llm.cooccurrence import cooccurrence
 
@@ -33,3 +34,20 @@ def test_no_pairs(spark):
 def test_items_always_together(spark):
     got = cooccurrence(spark.createDataFrame([(1, ["a", "b"], "x", 1)], SCHEMA), "tags").first()
     assert (got.lift, got.npmi) == (1.0, 1.0)
+
+
+def test_one_huge_basket_is_spread_over_all_tasks(spark):
+    """20,000 items in one row: its chunks, and the units of two of them, lie in every partition; counts are whole."""
+    from fotoloom.llm import cooccurrence as C
+
+    n, block = 20_000, 2_000
+    df = spark.range(1).selectExpr(f"transform(sequence(1, {n}), k -> lpad(k, 6, '0')) as _items")
+    chunks, units = C._chunk_pairs(df, block)
+    assert chunks.count() == 10 and units.count() == 45
+    assert units.agg(F.sum(F.size("_left") * F.size("_right"))).first()[0] == 45 * block * block
+    tasks = chunks.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in tasks) <= 6
+    small = spark.range(1).selectExpr("transform(sequence(1, 300), k -> lpad(k, 6, '0')) as _items")
+    got = C.pair_counts(small, "_items", 64)
+    assert got.where("a < b").count() == 300 * 299 // 2 and got.where("a = b").count() == 300 and got.where("a is null").first()["n"] == 1
+    assert got.agg(F.max("n")).first()[0] == 1
