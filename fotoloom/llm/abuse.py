@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotoloom.llm.lexicon import AIMING, AMBIGUOUS, ANYWHERE, COPULAS, CROWDS, DESCRIBING, ENDING, MAKERS, NO_MISTAKE, REPORTING, SHORT, STRONG, TERMS, TURNS
+from fotoloom.llm.lexicon import AIMING, AMBIGUOUS, ANYWHERE, COPULAS, CROWDS, DESCRIBING, ENDING, EXACT, MAKERS, NO_MISTAKE, REPORTING, SETS, SHORT, STRONG, TERMS, TURNS
 
 THRESHOLD = 0.5
 QUOTED = 0.3  # of a weight is left inside quotation marks or after words that report
 REMEMBERED = 12_000_000
 LONG_LINE = 2_000
 BEFORE = 6  # tokens that are searched for words that report
+AFTER = 10  # tokens from its first on that are searched for who said it
 QUOTATION = 60  # tokens of a quotation at most
 EDGE, EDGE_CHARS = 8, 120  # tokens on each side of a line break that are looked at together, within so many characters
 BETWEEN = 3  # free words between a term and what aims it
@@ -48,6 +49,7 @@ _HIDING = set("@$%#*!")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ ._\-*])[^\W_])(?:\1[^\W_]){1,}(?![^\W_])")
 _TOKENS = re.compile(r'["“”„«»「」]|[@$]?[^\W_](?:[\w@$%#*+]*[^\W_+$@*%#]|[\w@$%#*+]*[+$@])?')
 _IDIOMS = {("so", "called"), ("my", "words"), ("my", "word")}  # report nothing
+_TELLERS, _TOLD = {"he", "she", "they"}, {"said", "says", "shouted", "wrote", "yelled", "replied", "claimed", "added"}
 _QUOTES = set('"“”„«»「」')
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _DOUBLED = re.compile(r"(.)\1+")
@@ -103,6 +105,8 @@ class Trie:
 
 
 def _compile(turn: str) -> re.Pattern:
+    for name, words in SETS.items():
+        turn = turn.replace(f"<{name}>", f"(?:{words})")
     for short, long in (("<i>", r"i:\S+"), ("<ij>", r"[ij]:\S+"), ("<a>", r"(?:a:\S+ )+"), ("<a?>", r"(?:a:\S+ )*"), ("_ ", r"\S+ ")):
         turn = turn.replace(short, long)
     return re.compile(rf"(?<= )(?:{turn})(?![^\s])" if not turn.endswith((":", " ")) else rf"(?<= )(?:{turn})")
@@ -191,7 +195,7 @@ class Scorer:
         named = {w: (w if c == "w" else f"{c}:{w}") for w, c in self._class.items()}
         self._named = named
         self._trie = Trie(named)
-        self._long = Trie({w: v for w, v in named.items() if len(w) >= 6 or w in SHORT})
+        self._long = Trie({w: v for w, v in named.items() if (len(w) >= 6 or w in SHORT) and w not in EXACT})
         self._short = {named[w] for w in SHORT}
         self._longer = Trie({w: v for w, v in named.items() if len(w) >= 10})
         self._single = Trie({_DOUBLED.sub(r"\1", w): v for w, v in named.items()})
@@ -327,7 +331,10 @@ class Scorer:
         return found
 
     def _told(self, tokens: list[str], at: int) -> bool:
-        """Whether what begins at a token is quoted or reported."""
+        """Whether what begins at a token is quoted or reported, before it or after it."""
+        after = tokens[at : at + AFTER]
+        if any(a in _TELLERS and b in _TOLD for a, b in zip(after, after[1:])):
+            return True
         return any(a < at < b for a, b in _quotations(tokens)) or any(
             tokens[n] in REPORTING and not (n and (tokens[n - 1], tokens[n]) in _IDIOMS) for n in range(max(0, at - BEFORE), at)
         )

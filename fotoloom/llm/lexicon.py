@@ -5,7 +5,7 @@ innocent uses (animals, tools) and need a stronger sign; a: words that abuse wha
 innocent uses; w: words that only count inside a turn of phrase.
 
 `TURNS`: patterns over a line's tokens, each with a weight. In a pattern, <i> is a word of class i, <ij> one of i or j, <a>
-one or more words of class a, <a?> any number of them, `_` any token, and `..` up to four tokens.
+one or more words of class a, <a?> any number of them, `_` any token, and <harm>, <group> and so on a word of `SETS`.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ TERMS = {
         idiot idiots moron morons imbecile imbeciles cretin cretins retard retards dumbass dumbasses asshole assholes arsehole arseholes
         bastards slut sluts whore whores prick pricks dickhead dickheads shithead shitheads twat twats cunt cunts wanker wankers scumbag
         scumbags scum fuckwit fuckhead fucker fuckers motherfucker motherfuckers douchebag tosser bellend dipshit dumbfuck faggot faggots
+        nigger niggers kike kikes wetback wetbacks towelhead towelheads raghead ragheads paki pakis
         loser losers nitwit halfwit dimwit numbskull lowlife degenerate skank slag pervert
-        vollidiot vollidioten schwachkopf arschloch wichser drecksack hurensohn trottel dreckskerl missgeburt schlampe hure fotze blodmann
+        idioten dummkopf dummkopfe mistkerl mistkerle arschlocher vollidiot vollidioten schwachkopf arschloch wichser drecksack hurensohn trottel dreckskerl missgeburt schlampe hure fotze blodmann
         saukerl arschgesicht spasti
         connard connards connasse salaud salauds salope salopes encule enculee encules abruti abrutie abrutis batard pute bouffon debile ordure
         imbecil imbeciles idiota idiotas gilipollas cabron cabrones cabrona pendejo pendeja capullo estupido estupida malparido subnormal puta putas
@@ -43,6 +44,18 @@ TERMS = {
     """,
 }
 
+#: Terms that count as they are written only: too many ordinary words and names are one letter away (Niger, digger).
+EXACT = frozenset("nigger niggers kike kikes paki pakis idioten".split())
+
+#: Words that stand in turns as <harm>, <harmed>, <group>, <vile>, <body>: what is called for, against whom, with what.
+SETS: dict[str, str] = {
+    "harm": "kill|burn|gas|hang|shoot|drown|exterminate|behead|murder|slaughter|lynch|nuke|deport|castrate|rape|wipe out|get rid of",
+    "harmed": "killed|shot|hanged|hung|gassed|burned|burnt|drowned|exterminated|beheaded|murdered|slaughtered|lynched|nuked|castrated|raped|wiped out|put down|whipped|sterilised|sterilized|euthanized|euthanised|executed|stoned",
+    "group": "jews?|muslims?|christians?|hindus?|gyps(?:y|ies)|roma|arabs?|turks?|kurds?|poles|romanians?|mexicans?|americans?|russians?|ukrainians?|chinese|indians?|pakistanis?|africans?|asians?|albanians?|serbs?|blacks|whites|immigrants?|migrants?|refugees?|foreigners?|infidels?|unbelievers?|gays?|lesbians?|homosexuals?|trannies|trans people|feminists?|women|i:kikes?|i:pakis?|i:niggers?|i:faggots?|i:towelheads?|i:ragheads?|i:wetbacks?",
+    "vile": "a:worthless|a:pathetic|a:stupid|a:disgusting|a:useless|a:ugly|a:retarded|dumb|brain ?dead|braindead|trash|garbage|filth|vermin|subhuman|scum|i:scum|repulsive|revolting|brainless|spineless|shameless",
+    "body": "balls|(?:s:)?cock|(?:j:)?dick|(?:j:)?ass|arse|arsehole|(?:s:)?pussy|clit|nuts|(?:s:)?tits?|(?:s:)?boobs|(?:s:)?bites?",
+}
+
 #: Terms of four and five letters that may have a spelling mistake. Of the others (horny, joder, sale, puta, loser, сука) too
 #: many ordinary words of some language are one letter away: horno, jeder, salz, ruta, Moser, рука.
 SHORT = frozenset("idiot moron bitch whore prick cunt slut twat scum fuck skank идиот дебил".split())
@@ -60,7 +73,8 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"<a><i>", 0.8),
     (r"(?:shut up|shut your|get lost|fuck off|piss off|bugger off|go to hell|go die|drop dead|screw you|fuck you|kiss my|get out|your face in|suck my|cry about it) (?:_ ){0,6}<a?><ij>", 0.9),
     (r"(?:whoever|who ever|anyone who|everyone who|people who) (?:_ ){1,6}(?:is|are) (?:an? )?<a?><ij>", 0.9),
-    (r"(?:fuck|screw) (?:you|u|off|all|this|the|every|her|him|them)", 0.8),
+    (r"fuck (?:you|u|off|all|every|her|him|them)|fuck (?:this|the) (?!(?:a:\S+ )?(?:article|page|text|section|sentence|site|website|wiki|encyclopedia|list|table|template)(?: |$))", 0.8),
+    (r"screw (?:you|u|off|all of|every one|her|him|them)", 0.8),
     (r"(?:go|burn|rot|see you) (?:to|in) hell", 0.8),
     (r"kiss my (?:_ )?(?:j:ass|arse|butt)", 0.9),
     (r"piss off", 0.7),
@@ -83,7 +97,22 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"(?:kill|hang|shoot|drown|neck) (?:yourself|yourselves|urself)", 0.9),
     (r"(?:jump|throw (?:yourself|himself|herself)) (?:off|from|in front of) (?:the|an?) (?:tower|bridge|roof|cliff|train|building)", 0.9),
     (r"do everyone a (?:favour|favor)", 0.8),
+    # of a quality rather than a name
+    (r"(?:you|u|you guys|you people|you all|yall) (?:are |re |r )(?:all |so |such |really |just |nothing but |completely |totally |truly |fucking |goddamn |an? )*<vile>", 0.8),
+    (r"(?:youre|ur|your) (?:all |so |such |just |nothing but )+<vile>", 0.8),
+    (r"youre (?:really |truly |completely |totally |fucking |an? )*<vile>", 0.8),
+    (r"(?:editors?|admins?|moderators?|mods|wikipedians|author|people here|whoever wrote this) (?:is|are) (?:all |so |really |just |completely |totally )*<vile>", 0.8),
+    (r"(?:a:pathetic|sorry|poor|miserable|a:miserable) excuse for an? (?:human|man|woman|person|editor|admin|parent|mother|father)", 0.9),
+    (r"disgrace to (?:humanity|humankind|mankind|the human race|your (?:family|parents|mother|species))", 0.8),
+    (r"(?:nobody|no one|noone) (?:likes|loves|wants|needs|cares about) (?:you|u)(?! (?:to|in|as|for|more|but)(?: |$))", 0.7),
+    (r"(?:you|u) (?:all )?(?:make me sick|make me puke|disgust me|repulse me)", 0.8),
+    (r"eat (?:shit|a j:dick|my (?:shit|<body>))", 0.9),
+    (r"(?<=^ )(?:(?:please|just|go|and) )*(?:die in an? (?:fire|hole|ditch)|get (?:cancer|aids|raped|ebola)|choke to death|jump off an? (?:bridge|cliff|building))", 0.9),
+    (r"(?:kys|stfu|gtfo)", 0.8),
+    (r"(?:fck|fuk|fuq|phuck|fvck|fawk) (?:you|u|off|yourself|yourselves|all of you|ya)", 0.9),
+    (r"j:bitch please", 0.6),
     # threats
+    (r"(?:im|i am|i m|we are|were|i|we) (?:going to|gonna|will|want to|wanna|ll) (?:rape|murder|strangle|stab|hurt|beat up|behead|choke|kill|gut|slit) (?:you|your|u|ur)", 0.9),
     (r"(?:i|we) (?:_ )?know where (?:you|u) live", 0.9),
     (r"(?:i|we)(?: will|ll| ll| am going to| are going to| m going to|m gonna| gonna) (?:break|smash|kill|find|cut|burn|hunt|beat|slit|rape|murder|gut|stab) (?:you|your|u)", 0.9),
     (r"smash (?:your|his|her|their) (?:face|head|skull|teeth)", 0.9),
@@ -101,7 +130,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"is subhuman|are subhuman|(?:^|\s)\S+ (?:are )?subhuman(?:s)?(?:\s|$)", 0.7),
     (r"(?:wiped out|wipe them out|exterminate them|exterminate all|gas (?:them|the))", 0.7),
     (r"(?:belong|belongs) in (?:cages|a cage|the gas|the sea|camps|the zoo|chains)", 0.9),
-    (r"carry disease (?:wherever|everywhere)", 0.8),
+    (r"(?<!rats )(?<!ticks )(?<!fleas )(?<!mosquitoes )(?<!flies )(?<!birds )(?<!bats )(?<!animals )carry disease (?:wherever|everywhere)", 0.8),
     (r"breed like (?:j:rats|rabbits|flies|vermin)", 0.9),
     (r"must never be allowed to", 0.8),
     (r"thank us that we still let|let them breathe", 0.9),
@@ -124,7 +153,19 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"only good for (?:cooking|breeding|cleaning|one thing)", 0.8),
     (r"women (?:_ ){0,8}beat them", 0.8),
     (r"born thieves", 0.8),
+    (r"(?<=^ )(?:(?:lets|let us|please|just|we should|we must|someone should|time to|go) )*<harm> (?:all |every |the |these |those |off |you |of )+<a?><group>", 0.9),
+    (r"(?:lets|we should|we must|someone should|somebody should|everyone should|i want to|i wanna|i will) <harm> (?:all |every |the |these |those |off |of )*<a?><group>", 0.9),
+    (r"<group> (?:must|should|deserve to|need to|ought to|have to) (?:all |just )*(?:die|rot|hang|burn|suffer|be <harmed>)", 0.9),
+    (r"(?:should|must|ought to|need to|deserve to) all be <harmed>|(?:should|must|ought to|deserve to) be (?:all )?(?:burned|burnt|buried|skinned|boiled) alive", 0.9),
+    (r"(?<=^ )death to (?:all |every |the |these |those )*<a?><group>", 0.9),
+    (r"(?:dirty|a:filthy|a:stinking|a:fucking|a:disgusting|lazy|a:goddamn) <group>(?! (?:kitchen|road|street|water|work))", 0.8),
+    (r"<group> are (?:all |just |nothing but |such |a |an |the )*(?:<a>)?(?:<vile>|thieves|rapists|monkeys|apes|a:dirty|scroungers|criminals|terrorists|inferior|a plague|plague|cancer)", 0.8),
+    (r"women (?:belong|should (?:stay|be|remain)) in the kitchen", 0.8),
+    (r"go back to your (?:own )?(?:country|cave|hole|zoo|jungle)", 0.8),
     # sexual
+    (r"(?:s:cock|j:dick|penis) (?:deep |right )?(?:in|into|inside|down|up) (?:her|his|my|your|ur) (?:mouth|throat|<body>)", 0.9),
+    (r"(?:lick|suck|kiss|eat|touch|grab) (?:on )?(?:my|these) (?:a:\S+ |big |fat )*<body>", 0.9),
+    (r"(?:want to|wanna|gonna|going to|love to|like to|let me) fuck (?:you|u|your|ur|her|him|his|this|that|my|the) ?", 0.8),
     (r"(?:hard|big|huge|throbbing|my|his|your|suck(?:s|ed|ing)?|thick|black) s:(?:cocks?|polla)", 0.8),
     (r"(?:wet|tight|her|your|dripping) (?:_ )?s:(?:pussy|pussies|tits|tit)", 0.8),
     (r"(?:suck(?:s|ed|ing)?|lick(?:s|ed|ing)?|grab(?:s|bed)?) (?:_ ){0,2}s:(?:cocks?|tits?|puss\w+)", 0.9),
@@ -139,6 +180,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"until (?:both|she|he|they) came s:panting|rode her", 0.8),
     # German
     (r"du (?:_ )?<a?><ij>", 0.9),
+    (r"(?:bist|seid) (?:doch |nur |echt |alle |wirklich |so |nichts als )*(?:ein|eine|einer|die|der|das)? ?<a?><i>", 0.8),
     (r"(?:ist|bist|sind|war|seid) (?:doch |nur |echt )?(?:ein|eine|einer|so ein|die|der|das)? ?<a?><i>", 0.8),
     (r"(?:soll|sollen|kann|mag) (?:_ ){0,2}(?:verrecken|krepieren)", 0.9),
     (r"hatten? (?:_ )?(?:nie|niemals) geboren", 0.9),
@@ -157,7 +199,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     # French
     (r"(?:ferme|fermez) (?:ta|vos|votre|la) gueule", 0.9),
     (r"espece de <a?>(?:<ij>|fils|_ )", 0.8),
-    (r"fils de i:pute", 0.9),
+    (r"fils de i:pute|ta mere (?:la |est une )?i:pute", 0.9),
     (r"(?:est|es|sont|etes|t es) (?:vraiment )?(?:un|une|des|que des)? ?<a?><i>", 0.8),
     (r"(?:est|es) une? a:sale(?! (?:temps|coup|affaire|histoire|boulot|moment|tour|jour|journee|guerre|hiver|odeur|etat|eau|endroit|quartier)(?: |$))", 0.8),
     (r"peu(?:t|vent|x) crever|qu il creve", 0.9),
@@ -219,6 +261,7 @@ ANYWHERE: tuple[tuple[str, float], ...] = (
 REPORTING = frozenset(
     """
     word words term terms called calling call calls named naming termed insult insults insulting slur slurs phrase phrases etymology dictionary
+    shouted shouting chanted chanting yelled tweeted testified allegedly exclaimed lyrics slogan critic critics
     meaning means meant quoted quotation spelled occurs say says saying states rule rules policy criticised criticized reported report
     wort worter begriff bezeichnung genannt schimpfwort ausdruck mot mots terme termes appele injure insulte insultes palabra palabras termino terminos
     llamado llamar insulto слово слова термин называть оскорбление
@@ -238,7 +281,7 @@ STRONG = frozenset(
     """
     dumbass dumbasses asshole assholes arsehole arseholes dickhead dickheads shithead shitheads twat twats cunt cunts wanker wankers scumbag
     scumbags fuckwit fuckhead fucker fuckers motherfucker motherfuckers douchebag dipshit dumbfuck faggot faggots arschloch wichser drecksack
-    hurensohn dreckskerl arschgesicht connard connards connasse salope salopes encule enculee encules gilipollas malparido мудак пидор ублюдок
+    nigger niggers kike kikes wetback wetbacks towelhead towelheads raghead ragheads hurensohn dreckskerl arschgesicht connard connards connasse salope salopes encule enculee encules gilipollas malparido мудак пидор ублюдок
     ублюдки stronzo klootzak kutwijf skurwysyn
     """.split()
 )

@@ -142,3 +142,12 @@ def test_context_is_a_window(text):
 @pytest.mark.parametrize("text", ['He wrote "you idiot" in 1920.', "「死ね」と書かれた", 'The 5" pipe bore the mark "you idiot" in paint.', "I know where\n\nyou live", "It is so for you.\nIdiot boards are cards.", "* you\n* idiot board"])
 def test_context_still_tells(text):
     assert scorer().score(text) < THRESHOLD
+
+
+def test_sentences_written_by_hand():
+    from tests.llm import sentences as W
+
+    score = scorer().score
+    share = lambda texts: sum(score(t) >= THRESHOLD for t in texts) / len(texts)
+    assert share(W.SEEN_ABUSIVE) >= 0.95 and share(W.SEEN_PLAIN) <= 0.05
+    assert share(W.UNSEEN_ABUSIVE) >= 0.7 and share(W.UNSEEN_PLAIN) <= 0.1
