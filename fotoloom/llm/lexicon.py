@@ -52,8 +52,8 @@ SETS: dict[str, str] = {
     "harm": "kill|burn|gas|hang|shoot|drown|exterminate|behead|murder|slaughter|lynch|nuke|deport|castrate|rape|wipe out|get rid of",
     "harmed": "killed|shot|hanged|hung|gassed|burned|burnt|drowned|exterminated|beheaded|murdered|slaughtered|lynched|nuked|castrated|raped|wiped out|put down|whipped|sterilised|sterilized|euthanized|euthanised|executed|stoned",
     "group": "jews?|muslims?|christians?|hindus?|gyps(?:y|ies)|roma|arabs?|turks?|kurds?|poles|romanians?|mexicans?|americans?|russians?|ukrainians?|chinese|indians?|pakistanis?|africans?|asians?|albanians?|serbs?|blacks|whites|immigrants?|migrants?|refugees?|foreigners?|infidels?|unbelievers?|gays?|lesbians?|homosexuals?|trannies|trans people|feminists?|women|i:kikes?|i:pakis?|i:niggers?|i:faggots?|i:towelheads?|i:ragheads?|i:wetbacks?",
-    "vile": "a:worthless|a:pathetic|a:stupid|a:disgusting|a:useless|a:ugly|a:retarded|dumb|brain ?dead|braindead|trash|garbage|filth|vermin|subhuman|scum|i:scum|repulsive|revolting|brainless|spineless|shameless",
-    "body": "balls|(?:s:)?cock|(?:j:)?dick|(?:j:)?ass|arse|arsehole|(?:s:)?pussy|clit|nuts|(?:s:)?tits?|(?:s:)?boobs|(?:s:)?bites?",
+    "vile": "a:worthless|a:pathetic|a:stupid|a:disgusting|a:useless|a:ugly|a:retarded|dumb|brain ?dead|braindead|trash|garbage|filth|vermin|subhuman|i:scum|repulsive|revolting|brainless|spineless|shameless",
+    "body": "balls|s:cock|j:dick|j:ass|arse|i:arsehole|s:pussy|clit|nuts|s:tits?|s:boobs",
 }
 
 #: Terms of four and five letters that may have a spelling mistake. Of the others (horny, joder, sale, puta, loser, сука) too
@@ -98,11 +98,11 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"(?:jump|throw (?:yourself|himself|herself)) (?:off|from|in front of) (?:the|an?) (?:tower|bridge|roof|cliff|train|building)", 0.9),
     (r"do everyone a (?:favour|favor)", 0.8),
     # of a quality rather than a name
-    (r"(?:you|u|you guys|you people|you all|yall) (?:are |re |r )(?:all |so |such |really |just |nothing but |completely |totally |truly |fucking |goddamn |an? )*<vile>", 0.8),
+    (r"(?:you|u|you guys|you people|you all|yall) (?:are |re |r )(?:all |so |such |really |just |nothing but |completely |totally |truly |a:fucking |a:goddamn |an? )*<vile>", 0.8),
     (r"(?:youre|ur|your) (?:all |so |such |just |nothing but )+<vile>", 0.8),
-    (r"youre (?:really |truly |completely |totally |fucking |an? )*<vile>", 0.8),
+    (r"youre (?:really |truly |completely |totally |a:fucking |an? )*<vile>", 0.8),
     (r"(?:editors?|admins?|moderators?|mods|wikipedians|author|people here|whoever wrote this) (?:is|are) (?:all |so |really |just |completely |totally )*<vile>", 0.8),
-    (r"(?:a:pathetic|sorry|poor|miserable|a:miserable) excuse for an? (?:human|man|woman|person|editor|admin|parent|mother|father)", 0.9),
+    (r"(?:a:pathetic|sorry|poor|a:miserable) excuse for an? (?:human|man|woman|person|editor|admin|parent|mother|father)", 0.9),
     (r"disgrace to (?:humanity|humankind|mankind|the human race|your (?:family|parents|mother|species))", 0.8),
     (r"(?:nobody|no one|noone) (?:likes|loves|wants|needs|cares about) (?:you|u)(?! (?:to|in|as|for|more|but)(?: |$))", 0.7),
     (r"(?:you|u) (?:all )?(?:make me sick|make me puke|disgust me|repulse me)", 0.8),
@@ -159,7 +159,7 @@ TURNS: tuple[tuple[str, float], ...] = (
     (r"(?:should|must|ought to|need to|deserve to) all be <harmed>|(?:should|must|ought to|deserve to) be (?:all )?(?:burned|burnt|buried|skinned|boiled) alive", 0.9),
     (r"(?<=^ )death to (?:all |every |the |these |those )*<a?><group>", 0.9),
     (r"(?:dirty|a:filthy|a:stinking|a:fucking|a:disgusting|lazy|a:goddamn) <group>(?! (?:kitchen|road|street|water|work))", 0.8),
-    (r"<group> are (?:all |just |nothing but |such |a |an |the )*(?:<a>)?(?:<vile>|thieves|rapists|monkeys|apes|a:dirty|scroungers|criminals|terrorists|inferior|a plague|plague|cancer)", 0.8),
+    (r"<group> are (?:all |just |nothing but |such |a |an |the )*(?:<a>)?(?:<vile>|thieves|rapists|monkeys|apes|dirty|scroungers|criminals|terrorists|inferior|a plague|plague|cancer)", 0.8),
     (r"women (?:belong|should (?:stay|be|remain)) in the kitchen", 0.8),
     (r"go back to your (?:own )?(?:country|cave|hole|zoo|jungle)", 0.8),
     # sexual
