@@ -124,12 +124,21 @@ _COMMON = set(
     summer morning tomorrow children legs face live lives fire water every everywhere wherever share church village train bridge roof tree head hard wet her thick
     ok hot girls came sex fun night neck arm arms sea zoo camps chains fly flies rules state states stay out good habria se voy vamos
     es esta el del de al a por para con donde todos son les il faut tous ces
+    just nothing really such totally completely truly fat deep right dirty lazy touch grab eat kiss author authors editor editors admin admins cares loves likes
     ты вы он она все их всех на и надо найду
     ty jij wat een e sei da
     """.split()
 )
 
 
+#: Names of groups are common too: what is said of them tells.
+_GROUP = re.compile(SETS["group"])
+
+
+def _common(word: str) -> bool:
+    return word in _COMMON or _GROUP.fullmatch(word) is not None
+
+
 def _quotations(tokens: list[str]) -> list[tuple[int, int]]:
     """Places of the quotation marks of each quotation. A mark without another within `QUOTATION` tokens, or after a number
     where none is open (an inch sign), begins none."""
@@ -154,7 +163,7 @@ def _keys(pattern: str) -> set[str]:
     def closed(way: tuple[str, str]) -> tuple[str, str]:
         best, token = way
         token = token[:2] if token[1:2] == ":" and token[0] != "\0" else "" if "\0" in token else token
-        return max(best, token, key=lambda t: (bool(t), t not in _COMMON, len(t), t)), ""
+        return max(best, token, key=lambda t: (bool(t), not _common(t), len(t), t)), ""
 
     def char(ways: set[tuple[str, str]], c: str) -> set[tuple[str, str]]:
         return {closed(w) for w in ways} if c == " " else {(best, token + c) for best, token in ways}
