@@ -34,11 +34,11 @@ def people(photos: DataFrame) -> DataFrame:
 
 
 def gallery(photos: DataFrame, folder: str | None, only_favorites: bool = False, only_people: bool = False, strict: bool = False) -> DataFrame:
-    """The photos shown, by date, then id."""
+    """The photos shown, by date, then id; those without an id yet (0) come after the others of their time, by path."""
     shown = in_folder(photos, folder, strict)
     shown = favorites(shown) if only_favorites else shown
     shown = people(shown) if only_people else shown
-    return shown.orderBy("date_taken", "id")
+    return shown.orderBy("date_taken", F.col("id") == 0, "id", "file_path")
 
 
 def needs_analysis(photos: DataFrame) -> DataFrame:

@@ -90,28 +90,49 @@ def category_scores(vectors: DataFrame, categories: DataFrame, cfg: CurationConf
     return slim.mapInArrow(run, f"`{row_id}` {kind}, category_idx int, p float")
 
 
+def _tagged(vectors: pa.Array, words: _Vocabulary, cfg: CurationConfig) -> tuple[pa.Array, pa.Array]:
+    """Tags, before synonyms are dropped, and confidence of each vector."""
+    tags: list[list[str]] = [[] for _ in range(len(vectors))]
+    confidence, least = np.zeros(len(vectors), np.float32), np.float32(cfg.tag_min_probability)
+    for at, m in _by_length(vectors) if len(words.index) else ():
+        for row, p in zip(at, words.scores(m, cfg)):
+            best = int(p.argmax())
+            confidence[row] = min(max(p[best], 0.0), 1.0)
+            tags[row] = words.passing(p, least) or words.fallback(best)
+    return pa.array(tags, pa.list_(pa.string())), pa.array(confidence)
+
+
+def _named(tags: str | Column) -> Column:
+    left = without_synonyms(tags)
+    return F.when(F.size(left) > 0, left).otherwise(F.array(F.lit("Other")))
+
+
 def zero_shot_tags(vectors: DataFrame, categories: DataFrame, cfg: CurationConfig = DEFAULTS, row_id: str = "id", vector: str = "feature_vector") -> DataFrame:
     """`row_id`, `tags`, `confidence` of every row. A tag's score is its best category's, letter case ignored, in the
     spelling first met; tags from the threshold on stand by score, then place. If none passes, the tags of the best category
     stand (the lowest index on ties); if nothing is left, or there is no usable vector, "Other". Nothing is shuffled."""
     words = _Vocabulary(categories)
     slim = vectors.select(row_id, F.col(vector).cast("array<float>").alias("_v"))
-    least = np.float32(cfg.tag_min_probability)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags: list[list[str]] = [[] for _ in range(b.num_rows)]
-            confidence = np.zeros(b.num_rows, np.float32)
-            for at, m in _by_length(b.column(1)) if len(words.index) else ():
-                for row, p in zip(at, words.scores(m, cfg)):
-                    best = int(p.argmax())
-                    confidence[row] = min(max(p[best], 0.0), 1.0)
-                    tags[row] = words.passing(p, least) or words.fallback(best)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tags, pa.list_(pa.string())), pa.array(confidence)], names=[row_id, "_t", "confidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_tagged(b.column(1), words, cfg)], names=[row_id, "_t", "confidence"])
 
     kind = slim.schema[row_id].dataType.simpleString()
-    found = slim.mapInArrow(run, f"`{row_id}` {kind}, _t array<string>, confidence float").withColumn("_t", without_synonyms("_t"))
-    return found.select(row_id, F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.array(F.lit("Other"))).alias("tags"), "confidence")
+    found = slim.mapInArrow(run, f"`{row_id}` {kind}, _t array<string>, confidence float")
+    return found.select(row_id, _named("_t").alias("tags"), "confidence")
+
+
+def tags_beside(rows: DataFrame, categories: DataFrame, cfg: CurationConfig = DEFAULTS, vector: str = "feature_vector") -> DataFrame:
+    """`rows` with `_tags`, the tags that `zero_shot_tags` gives; only the vectors go to Python."""
+    words = _Vocabulary(categories)
+
+    def tagged(v: pa.Array) -> pa.Array:
+        return _tagged(v, words, cfg)[0]
+
+    tagged.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(tagged, "array<string>")
+    return rows.withColumn("_tags", udf(F.col(vector).cast("array<float>"))).withColumn("_tags", _named("_tags"))
 
 
 def analysis_route() -> Column:
@@ -124,33 +145,33 @@ def analysis_route() -> Column:
 def analyze(photos: DataFrame, categories: DataFrame, images: DataFrame | None = None, cfg: CurationConfig = DEFAULTS) -> DataFrame:
     """`photos` after analysis; three disjoint branches, of which only the last needs image results.
 
-    images: `id`, `sharpness_score`, `face_count`, `feature_vector`, `exif_date` (nullable) of photos of the last branch.
-    Those without image results count as analyzed, with "Other" and no scores.
+    images: `file_path`, `sharpness_score`, `face_count`, `feature_vector`, `exif_date` (nullable) of photos of the last branch;
+    paths must be unique in both. Those without image results count as analyzed, with "Other" and no scores.
     """
     routed = photos.withColumn("_route", analysis_route())
     kept = routed.where("_route = 'tags'").withColumn("tags", catalog_tags("tags")).withColumn("is_analyzed", F.lit(True)).drop("_route")
 
     def tagged(rows: DataFrame) -> DataFrame:
-        found = zero_shot_tags(rows, categories, cfg).select(F.col("id").alias("_id"), F.col("tags").alias("_tags"))
+        # Beside the row they belong to rather than joined to it: new photos have no id yet, and nothing is shuffled.
+        found = tags_beside(rows, categories, cfg)
         return (
-            rows.join(found, F.col("id") == F.col("_id"))
-            .withColumn("tags", with_person("_tags", F.coalesce("face_count", F.lit(0))))
+            found.withColumn("tags", with_person("_tags", F.coalesce("face_count", F.lit(0))))
             .withColumn("is_analyzed", F.lit(True))
-            .drop("_id", "_tags")
+            .select(rows.columns)
         )
 
     by_vector = tagged(routed.where("_route = 'vector'").drop("_route"))
     rest = routed.where("_route = 'image'").drop("_route")
     if images is not None:
         seen = images.select(
-            F.col("id").alias("_id"), F.col("sharpness_score").alias("_s"), F.col("face_count").alias("_f"), F.col("feature_vector").alias("_v"), F.col("exif_date").alias("_d")
+            F.col("file_path").alias("_path"), F.col("sharpness_score").alias("_s"), F.col("face_count").alias("_f"), F.col("feature_vector").alias("_v"), F.col("exif_date").alias("_d")
         )
         rest = (
-            rest.join(seen, F.col("id") == F.col("_id"), "left")
+            rest.join(seen, F.col("file_path") == F.col("_path"), "left")
             .withColumn("sharpness_score", F.coalesce("_s", F.lit(0.0)))
             .withColumn("face_count", F.coalesce("_f", F.lit(0)))
             .withColumn("feature_vector", F.col("_v"))
             .withColumn("date_taken", F.coalesce("_d", "date_taken") if cfg.use_exif_date else F.col("date_taken"))
-            .drop("_id", "_s", "_f", "_v", "_d")
+            .drop("_path", "_s", "_f", "_v", "_d")
         )
     return kept.unionByName(by_vector).unionByName(tagged(rest))

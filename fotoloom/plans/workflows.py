@@ -31,12 +31,29 @@ def open_folder(spark: SparkSession, catalog: Catalog, root: str, folder: str |
     return gallery.gallery(with_new_files(catalog.read(), scan_images(spark, root)), root if folder is None else folder, **filters)
 
 
-def analyze_shown(catalog: Catalog, shown: DataFrame, categories: DataFrame, images: DataFrame | None = None, cfg: CurationConfig = DEFAULTS) -> int:
-    """Analyzes the photos shown that need it and saves them as one version; how many there were."""
+def analyze_shown(
+    catalog: Catalog,
+    shown: DataFrame,
+    categories: DataFrame,
+    images: DataFrame | None = None,
+    cfg: CurationConfig = DEFAULTS,
+    progress: Callable[[int, int], None] = lambda done, of: None,
+    commit: int | None = None,
+) -> int:
+    """Analyzes the photos shown that need it and saves them; how many there were.
+
+    images: what `sources.images.photo_results` gives. commit: about how many photos one version saves at most (None: all in
+    one); every version is on its own, so what is saved stays if a later one fails. progress hears after each commit how
+    many of them all are done. New photos get their ids when they are saved."""
     work = materialize(tagging.analyze(gallery.needs_analysis(shown), categories, images, cfg), "analyzed")
     n = work.count()
-    if n:
-        catalog.save(work)
+    parts = max(1, -(-n // commit)) if commit else 1
+    done = 0
+    for k in range(parts) if n else ():
+        some = work if parts == 1 else work.where(F.pmod(F.xxhash64("file_path"), F.lit(parts)) == k)
+        catalog.save(some)
+        done += some.count() if parts > 1 else n
+        progress(done, n)
     return n
 
 

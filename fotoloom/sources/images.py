@@ -1,7 +1,7 @@
 """Pixels, sharpness, header dates and model results of image files, in Arrow batches.
 
-Decoding uses Spark's own image source where it can (JPEG, PNG, GIF, BMP); other formats need a `decode` function from
-bytes to an array of height x width x 3 (blue, green, red). A file that cannot be read gives a row with `decode_ok` false
+Decoding uses Spark's own image source where it can (JPEG, PNG, GIF, BMP); for other formats a `decode` function from bytes
+to an array of height x width x 3 (blue, green, red) comes second. A file that cannot be read gives a row with `decode_ok` false
 and no scores, and never fails the job.
 """
 
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotoloom.scratch import materialize
+
 
 def sharpness(bgr: np.ndarray) -> float:
     """The variance of the Laplacian of the grey image (four neighbours, mirrored borders)."""
@@ -89,12 +91,16 @@ def read_exif(files: DataFrame, leading: int = 131_072) -> DataFrame:
     ).select("path", F.when(F.col("_e"), F.col("_d")).alias("exif_date"))
 
 
+#: Names under which models give their vector, in the order in which they are looked for.
+OUTPUT_NAMES = ("pooler_output", "image_embeds", "embedding", "output")
+
+
 class OnnxModel:
     """A session per Python worker, made on first use; without a file every result is empty."""
 
     _sessions: dict = {}
 
-    def __init__(self, path: str | None, outputs: tuple[str, ...] = ("pooler_output", "image_embeds", "embedding", "output"), dim: int = 768):
+    def __init__(self, path: str | None, outputs: tuple[str, ...] = OUTPUT_NAMES, dim: int = 768):
         self.path, self.outputs, self.dim = path, outputs, dim
 
     def session(self):
@@ -131,51 +137,81 @@ class OnnxModel:
         return [(k, *map(float, box), float(score[1])) for k, (score, box) in enumerate(zip(got[2], got[4]))]
 
 
-def image_results(spark: SparkSession, folder: str, vision: OnnxModel | None = None, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
-    """`path`, `decode_ok`, `sharpness_score`, `feature_vector` of every image in a folder, sub-folders included."""
-    if decode is None:
-        images = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    else:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        zero = F.lit(0)
-        images = files.select(F.col("path").alias("origin"), zero.alias("height"), zero.alias("width"), zero.alias("nChannels"), F.col("content").alias("data"))
-
-    def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
-        try:
-            if decode is not None:
-                return decode(data)
-            if height <= 0:
-                return None
-            a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-            return np.repeat(a, 3, axis=2) if channels == 1 else a[..., :3]
-        except Exception:  # a damaged file is a result, not a failure
-            return None
+def pixels(height: int, width: int, channels: int, data: bytes | None) -> np.ndarray | None:
+    """Height x width x 3 of an image as Spark decodes it, grey or with an alpha channel too; null if it is none."""
+    if not data or height is None or height <= 0 or width <= 0 or len(data) != height * width * channels:
+        return None
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(a, 3, axis=2) if channels == 1 else a[..., :3] if channels in (3, 4) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_RESULTS = "path string, decode_ok boolean, sharpness_score double, feature_vector array<float>, boxes array<struct<anchor_idx:int,x1:float,y1:float,x2:float,y2:float,face_score:float>>"
+
+
+def _seen(decode: Callable[..., np.ndarray | None], vision: OnnxModel | None, faces: OnnxModel | None):
+    """What can be told from the pixels that `decode` makes of a row's columns after the path."""
+    box = pa.struct([("anchor_idx", pa.int32()), *((c, pa.float32()) for c in ("x1", "y1", "x2", "y2", "face_score"))])
+    types = [pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.float32()), pa.list_(box)]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for origin, h, w, c, data in zip(*(col.to_pylist() for col in b.columns)):
-                bgr = pixels(h, w, c, data)
-                v = vision.embed(bgr) if vision is not None and bgr is not None else None
-                out.append((origin, bgr is not None, sharpness(bgr) if bgr is not None else 0.0, None if v is None else v.tolist()))
-            names = ["path", "decode_ok", "sharpness_score", "feature_vector"]
-            types = [pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+            for path, *columns in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    bgr = decode(*columns)
+                except Exception:  # a damaged file is a result, not a failure
+                    bgr = None
+                if bgr is None:
+                    out.append((path, False, 0.0, None, []))
+                    continue
+                v = vision.embed(bgr) if vision is not None else None
+                found = faces.faces(bgr) if faces is not None else []
+                names = [f.name for f in box]
+                out.append((path, True, sharpness(bgr), None if v is None else v.tolist(), [dict(zip(names, f)) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["path", "decode_ok", "sharpness_score", "feature_vector", "boxes"])
+
+    return seen
+
+
+def image_results(spark: SparkSession, folder: str, vision: OnnxModel | None = None, decode: Callable[[bytes], np.ndarray] | None = None, faces: OnnxModel | None = None) -> DataFrame:
+    """`path`, `decode_ok`, `sharpness_score`, `feature_vector`, `boxes` of every image in a folder, sub-folders included.
+    Spark's decoder comes first; what it cannot read goes to `decode`, if there is one."""
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
+    first = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(_seen(pixels, vision, faces), _RESULTS)
+    if decode is None:
+        return first
+    first = materialize(first, "decoded")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    missed = first.where("not decode_ok").select(_local("path").alias("_path"))
+    again = files.join(missed, _local("path") == F.col("_path"), "left_semi").select("path", "content").mapInArrow(_seen(decode, vision, faces), _RESULTS)
+    return first.where("decode_ok").unionByName(again)
 
-    return images.mapInArrow(run, "path string, decode_ok boolean, sharpness_score double, feature_vector array<float>")
 
+def _local(path: str):
+    """A path without the scheme of local files, as the catalog has it."""
+    return F.regexp_replace(path, "^file:(//)?", "")
 
-def detect_faces(images: DataFrame, model: OnnxModel) -> DataFrame:
-    """Detections (`image_id`, `anchor_idx`, corners, `face_score`) of an image table `image_id`, `height`, `width`, `data`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, h, w, data in zip(*(col.to_pylist() for col in b.columns)):
-                if h and h > 0:
-                    rows += [(i, *f) for f in model.faces(np.frombuffer(data, np.uint8).reshape(h, w, 3))]
-            types = [pa.int32(), pa.int32(), *[pa.float32()] * 5]
-            names = ["image_id", "anchor_idx", "x1", "y1", "x2", "y2", "face_score"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-
-    return images.select("image_id", "height", "width", "data").mapInArrow(run, "image_id int, anchor_idx int, x1 float, y1 float, x2 float, y2 float, face_score float")
+def photo_results(spark: SparkSession, folder: str, vision: OnnxModel | None = None, faces: OnnxModel | None = None, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """Everything that the analysis of an image asks for, a row per file: `file_path`, `decode_ok`, `sharpness_score`,
+    `face_count`, `feature_vector`, `exif_date`."""
+    from fotoloom.operators.detection import face_counts
+
+    results = materialize(image_results(spark, folder, vision, decode, faces), "images")
+    boxes = results.select(F.col("path").alias("image_id"), F.explode("boxes").alias("_b")).select("image_id", "_b.*")
+    counts = face_counts(boxes).select(F.col("image_id").alias("_path"), F.col("faces").alias("face_count"))
+    dates = read_exif(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)).select(_local("path").alias("file_path"), "exif_date")
+    found = results.join(counts, F.col("path") == F.col("_path"), "left").select(
+        _local("path").alias("file_path"), "decode_ok", "sharpness_score", F.coalesce("face_count", F.lit(0)).alias("face_count"), "feature_vector"
+    )
+    return found.join(dates, "file_path", "left")
+
+
+def detect_faces(images: DataFrame, model: OnnxModel) -> DataFrame:
+    """Detections (`image_id`, `anchor_idx`, corners, `face_score`) of an image table `image_id`, `height`, `width`,
+    `nChannels` (3 where the column is missing), `data`. What is no image has none."""
+    channels = F.col("nChannels") if "nChannels" in images.columns else F.lit(3)
+    kind = images.schema["image_id"].dataType.simpleString()
+    slim = images.select(F.col("image_id").cast("string").alias("path"), "height", "width", channels.alias("nChannels"), "data")
+    seen = slim.mapInArrow(_seen(pixels, None, model), _RESULTS)
+    return seen.select(F.col("path").cast(kind).alias("image_id"), F.explode("boxes").alias("_b")).select("image_id", "_b.*")

@@ -122,3 +122,37 @@ def test_session_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r.events for r in spark.table("found").collect()) == [1, 2]
     assert spark.table("found").agg(F.count("*")).first()[0] == 2
+
+
+def test_new_rows_get_ids_by_path(spark):
+    got = catalog.with_ids(rows(spark, photo(7, "/k"), *(photo(0, f"/{c}") for c in "dacb")), 7).collect()
+    assert {r.file_path: r.id for r in got} == {"/k": 7, "/a": 8, "/b": 9, "/c": 10, "/d": 11}
+    assert catalog.with_ids(rows(spark, photo(1, "/k")).limit(0), 0).count() == 0
+
+
+def test_ties_of_order_are_settled_by_values(spark):
+    stored = rows(spark, photo(1, "/p")).limit(0)
+    batch = [photo(0, "/q", D2, ["y"], file_size_bytes=2), photo(0, "/q", D1, ["x"], file_size_bytes=1)]
+    both = [[(r.date_taken, r.tags) for r in catalog.upsert(stored, rows(spark, *b)).collect()] for b in (batch, batch[::-1])]
+    assert both[0] == both[1] and len(both[0]) == 1
+
+
+def test_the_second_of_two_writers_starts_again(spark, tmp_path):
+    one, two = (catalog.Catalog(spark, f"file://{tmp_path}/catalog") for _ in range(2))
+    one.create()
+    one.save(rows(spark, photo(0, "/p", tags=["a"])))
+    stale = two.versions()
+    one.save(rows(spark, photo(0, "/q", tags=["b"])))
+    assert not two._commit(rows(spark, photo(9, "/lost")), stale[-1] + 1)  # the version is taken, and nothing is left behind
+    assert len([p for p in (tmp_path / "catalog").iterdir() if p.name.startswith("data-")]) == 3
+    seen = iter([stale])
+    whole = two.versions
+    two.versions = lambda: next(seen, None) or whole()  # it believes the stale version to be current, once
+    two.save(rows(spark, photo(0, "/r", tags=["c"])))
+    assert {r.file_path: r.id for r in one.read().collect()} == {"/p": 1, "/q": 2, "/r": 3}
+    assert one.versions() == [0, 1, 2, 3]
+
+
+def test_new_photos_come_last_of_their_time(spark):
+    got = gallery.gallery(rows(spark, photo(0, "/b"), photo(0, "/a"), photo(5, "/z")), "/").collect()
+    assert [r.file_path for r in got] == ["/z", "/a", "/b"]

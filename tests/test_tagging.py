@@ -57,7 +57,7 @@ def test_zero_shot(spark, vector, tags, confidence):
 def test_analysis_routes(spark):
     zeros = [0.0] * 768
     df = rows(spark, photo(1, "/a", tags=["ExistingTag"], feature_vector=zeros), photo(2, "/b", feature_vector=zeros, is_analyzed=False, face_count=1), photo(3, "/c", is_analyzed=False))
-    seen = spark.createDataFrame([(3, 12.0, 2, [0.0, 1.0, 0.0], None)], "id int, sharpness_score double, face_count int, feature_vector array<float>, exif_date timestamp_ntz")
+    seen = spark.createDataFrame([("/c", 12.0, 2, [0.0, 1.0, 0.0], None)], "file_path string, sharpness_score double, face_count int, feature_vector array<float>, exif_date timestamp_ntz")
     got = {r.id: r for r in tagging.analyze(df, spark.createDataFrame(VOCABULARY, CATEGORIES), seen).collect()}
     assert got[1].tags == ["ExistingTag"] and got[2].tags[0] == "Person" and len(got[2].tags) > 1
     assert got[3].tags == ["Person", "Landscape"] and got[3].sharpness_score == 12.0 and all(r.is_analyzed for r in got.values())
