@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotoloom.config import EXCLUDED_TAGS
+from fotoloom.config import DEFAULTS, EXCLUDED_TAGS
 from fotoloom.functions.tags import catalog_tags
 from fotoloom.operators import album, detection, tagging
 from fotoloom.plans.gallery_queries import CLEAN, VECTOR, _cosine, _without_synonyms
@@ -137,7 +137,59 @@ _OVERLAP = """(least(k.x2, b.x2) > greatest(k.x1, b.x1) AND least(k.y2, b.y2) >
   AND (least(k.x2, b.x2) - greatest(k.x1, b.x1)) * (least(k.y2, b.y2) - greatest(k.y1, b.y1))
   / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(k.x2, b.x2) - greatest(k.x1, b.x1)) * (least(k.y2, b.y2) - greatest(k.y1, b.y1))) > 0.4::FLOAT::DOUBLE)"""
 
+_BURSTS = f"""{_EPISODES.replace("WITH", "WITH RECURSIVE", 1)},
+  b AS (SELECT *, CASE WHEN date_taken - lag(date_taken) OVER (PARTITION BY taken_date, episode ORDER BY date_taken, id) <= INTERVAL 15 SECOND THEN 0 ELSE 1 END AS fresh FROM episodes),
+  burst AS (SELECT * EXCLUDE (fresh), sum(fresh) OVER (PARTITION BY taken_date, episode ORDER BY date_taken, id ROWS UNBOUNDED PRECEDING)::INTEGER AS burst FROM b)"""
+# The fold over each burst: of the slots kept so far, the first that resembles a photo gives way to it if it scores higher.
+_DEDUP = f"""{_BURSTS},
+  shot AS (SELECT taken_date, episode, burst, row_number() OVER (PARTITION BY taken_date, episode, burst ORDER BY date_taken, id) AS nth,
+    struct_pack(id := id, v := feature_vector, score := score) AS p FROM burst),
+  fold AS (
+    SELECT taken_date, episode, burst, nth, [p] AS kept FROM shot WHERE nth = 1
+    UNION ALL
+    SELECT taken_date, episode, burst, nth, CASE WHEN place = 0 THEN list_append(kept, p)
+      WHEN p.score > kept[place].score THEN list_concat(kept[1:place - 1], [p], kept[place + 1:]) ELSE kept END
+    FROM (SELECT f.taken_date, f.episode, f.burst, s.nth, f.kept, s.p,
+        coalesce(list_position(list_transform(f.kept, lambda k: {_cosine("k.v", "s.p.v")} >= {DEFAULTS.duplicate_similarity}), true), 0) AS place
+      FROM fold f JOIN shot s ON s.taken_date = f.taken_date AND s.episode = f.episode AND s.burst = f.burst AND s.nth = f.nth + 1)),
+  last AS (SELECT taken_date, episode, burst, arg_max(kept, nth) AS kept FROM fold GROUP BY ALL),
+  slots AS (SELECT taken_date, episode, burst, kept[k].id AS id, (k - 1)::INTEGER AS slot FROM last, unnest(range(1, len(kept) + 1)) AS r(k))"""
+_HERO = f"{_says('landscape', 'architecture')} AND sharpness_score >= {DEFAULTS.hero_min_sharpness} AND coalesce(face_count, 0) <= {DEFAULTS.hero_max_faces}"
+_SOCIAL = f"coalesce(face_count, 0) >= 2 OR {_says('food', 'home', 'leisure', 'person')}"
+# The fold over each episode's photos: the state is the page that is open.
+_PAGES = f"""{_DEDUP},
+  ranked AS (SELECT b.*, slot, count(*) OVER e AS n, row_number() OVER (PARTITION BY b.taken_date, b.episode ORDER BY score DESC, date_taken, b.burst, slot, b.id) AS rank
+    FROM burst b JOIN slots s ON s.id = b.id WINDOW e AS (PARTITION BY b.taken_date, b.episode)),
+  chosen AS (SELECT *, row_number() OVER (PARTITION BY taken_date, episode ORDER BY date_taken, rank) AS nth,
+      struct_pack(id := id, v := feature_vector, kind := coalesce(tags[1], 'Other'), hero := {_HERO}, social := {_SOCIAL}) AS p
+    FROM ranked WHERE rank <= least(n, greatest({DEFAULTS.quota_floor}, n * {DEFAULTS.quota_tenths} // 10))),
+  laid AS (
+    SELECT taken_date, episode, nth, 1 AS page, [p] AS open FROM chosen WHERE nth = 1
+    UNION ALL
+    SELECT taken_date, episode, nth, CASE WHEN full_up THEN page + 1 ELSE page END, CASE WHEN full_up THEN [p] ELSE list_append(open, p) END
+    FROM (SELECT l.taken_date, l.episode, c.nth, l.page, l.open, c.p,
+        len(list_distinct(list_append(list_transform(l.open, lambda q: q.kind), c.p.kind))) > {DEFAULTS.max_kinds_per_page}
+        OR len(l.open) >= CASE WHEN len(list_filter(l.open, lambda q: q.hero)) > 0 AND len(l.open) <= {DEFAULTS.hero_max_page} THEN {DEFAULTS.capacity_hero}
+          WHEN len(list_filter(l.open, lambda q: q.social)) > 0 THEN {DEFAULTS.capacity_social} ELSE {DEFAULTS.capacity_default} END
+        OR (c.p.v IS NOT NULL AND len(l.open) >= 2 AND coalesce(list_avg(list_transform(list_filter(l.open, lambda q: q.v IS NOT NULL), lambda q: {_cosine("q.v", "c.p.v")})), 1.0)
+          < {DEFAULTS.page_min_similarity}) AS full_up
+      FROM laid l JOIN chosen c ON c.taken_date = l.taken_date AND c.episode = l.episode AND c.nth = l.nth + 1)),
+  pages AS (SELECT taken_date, episode, page, arg_max(open, nth) AS open, max(page) OVER (PARTITION BY taken_date, episode) AS most FROM laid GROUP BY taken_date, episode, page),
+  before AS (SELECT *, lag(open) OVER (PARTITION BY taken_date, episode ORDER BY page) AS previous FROM pages),
+  tail AS (SELECT taken_date, episode, CASE WHEN len(open) = 1 AND previous IS NOT NULL AND len(previous) < {DEFAULTS.tail_merge_below}
+      AND len(list_distinct(list_append(list_transform(previous, lambda q: q.kind), open[1].kind))) <= {DEFAULTS.max_kinds_per_page} THEN page END AS merged FROM before WHERE page = most),
+  whole AS (SELECT p.taken_date, p.episode, CASE WHEN p.page = merged THEN p.page - 1 ELSE p.page END AS page, p.open, p.page = merged AS moved FROM pages p JOIN tail t USING (taken_date, episode)),
+  items AS (SELECT taken_date, episode, page, coalesce(moved, false) AS moved, k, open[k].id AS photo_id, open[k].kind AS kind FROM whole, unnest(range(1, len(open) + 1)) AS r(k)),
+  album AS (SELECT dense_rank() OVER (ORDER BY taken_date, episode, page)::INTEGER AS page_number,
+      row_number() OVER (PARTITION BY taken_date, episode, page ORDER BY moved, k)::INTEGER AS photo_index, photo_id, kind, taken_date, episode FROM items)"""
+
 SQL = {
+    "burst_dedup": f"{_DEDUP} SELECT id, taken_date, episode, burst, slot FROM slots",
+    "album_pages": f"{_PAGES} SELECT page_number, photo_index, photo_id, kind, taken_date, episode FROM album",
+    "album_page_summary": f"""{_PAGES},
+  k AS (SELECT page_number, count(*) AS photos, min(taken_date) AS taken_date FROM album GROUP BY 1),
+  t AS (SELECT page_number, count(*) AS kinds, string_agg(replace(kind, ' ', '_'), '_and_' ORDER BY lower(kind), kind DESC) AS theme FROM (SELECT DISTINCT page_number, kind FROM album) GROUP BY 1)
+SELECT page_number, photos, kinds, theme, taken_date FROM k JOIN t USING (page_number)""",
     "album_candidates": f"WITH {_CANDIDATES} SELECT id, date_taken, coalesce(array_to_string(tags, '|'), '') AS tags FROM candidates",
     "photo_score": f"SELECT id, round(({_SCORE})::DOUBLE, 6) AS score FROM ({CLEAN})",
     "episodes": f"{_EPISODES} SELECT id, taken_date, episode FROM episodes",
