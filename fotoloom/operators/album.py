@@ -1,9 +1,10 @@
 """Albums: candidates, episodes, bursts, de-duplication, quota, pages.
 
-A change of date always ends an episode, so every window is partitioned by date and nothing needs a global order; only
-page numbers do, and these come from one row per date. Vectors ride along once: all windows and both folds cluster on the
-date, so the photos are shuffled a single time. Order-dependent folds run per burst of two or more and per episode,
-some episodes to a call.
+The candidates are sorted once by time over all tasks, so a day that holds a third of all photos is cut wherever a range of
+rows ends. Each task marks where episodes and bursts begin and numbers them within its range; one row per range tells how
+far the numbers of the next one are ahead. The result is written once, with its vectors. Bursts of one photo pass by the
+de-duplication, and from there on photos are dealt by some episodes at a time, which quota and pages both use. Only one
+burst, and only one episode, is folded in one task, for their rules depend on order.
 
 Defined results: photos without a date are left out; null flags count as false, null scores as 0, null tags as none; ties
 of date are ordered by id; an empty table gives empty results.
@@ -11,16 +12,21 @@ of date are ordered by id; an empty table gives empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fotoloom.config import DEFAULTS, CurationConfig
 from fotoloom.functions.naming import theme
 from fotoloom.functions.tags import catalog_tags, excluded, mentions, primary_tag
 from fotoloom.functions.times import micros
-from fotoloom.functions.vectors import catalog_vector, cosine
+from fotoloom.functions.vectors import catalog_vector
 from fotoloom.scratch import materialize
 
 EPISODE = ("taken_date", "episode")
@@ -52,36 +58,141 @@ def photo_score(cfg: CurationConfig = DEFAULTS) -> Column:
     )
 
 
-def episodes(candidates: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
-    """Adds `taken_date` and `episode` (from 1 within the date): a new one starts after a gap of more than six hours or where
-    a photo is unlike the one before (both with vectors)."""
-    line = Window.partitionBy("taken_date").orderBy("date_taken", "id")
-    gap = round(cfg.episode_gap_hours * 3_600_000_000)
-    before = F.col("_before")
-    unlike = before["v"].isNotNull() & F.col("feature_vector").isNotNull() & (cosine("feature_vector", before["v"]) < cfg.episode_min_similarity)
-    return (
-        candidates.withColumn("taken_date", F.to_date("date_taken"))
-        .withColumn("_t", micros("date_taken"))
-        .withColumn("_before", F.lag(F.struct(F.col("_t").alias("t"), F.col("feature_vector").alias("v"))).over(line))
-        .withColumn("_new", F.when(before.isNull(), True).otherwise((F.col("_t") - before["t"] > gap) | unlike).cast("int"))
-        .withColumn("episode", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        .drop("_before", "_new")
-    )
+#: Episodes that one call of a fold receives at most; fewer calls, same results.
+EPISODES_PER_CALL = 64
 
 
-def bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
-    """Adds `burst` (from 1 within the episode): photos at most fifteen seconds after the one before."""
-    line = Window.partitionBy(*EPISODE).orderBy("date_taken", "id")
-    window = round(cfg.burst_window_seconds * 1_000_000)
+def _linked_similarity(v: pa.Array, before) -> tuple[np.ndarray, object]:
+    """Cosine of each vector with the one before it (the last one of the batch before for the first), over the shorter
+    length; NaN where one of them is null, and 0 where it is empty or zero."""
+    n = len(v)
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    offsets = np.asarray(v.offsets)
+    flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    ok, size = np.asarray(v.is_valid()), np.diff(offsets)
+    own = [flat[offsets[0] : offsets[0] + size[0]] if ok[0] else None, flat[offsets[n - 1] : offsets[n - 1] + size[n - 1]] if ok[n - 1] else None]
+    out = np.full(n, np.nan)
+    out[0] = _pair(before, own[0]) if before is not None and own[0] is not None else np.nan
+    if n > 1 and ok.all() and (size == size[0]).all() and size[0] and offsets[n - 1] - offsets[0] == (n - 1) * size[0]:
+        m = flat[offsets[0] : offsets[n]].reshape(n, -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+        both = norm[1:] * norm[:-1]
+        out[1:] = np.where(both > 0, np.einsum("ij,ij->i", m[1:], m[:-1]) / np.where(both > 0, both, 1), 0.0)
+    else:
+        for k in range(1, n):
+            if ok[k] and ok[k - 1]:
+                out[k] = _pair(flat[offsets[k - 1] : offsets[k]], flat[offsets[k] : offsets[k + 1]])
+    return out, own[1]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> float:
+    n = min(len(a), len(b))
+    x, y = np.asarray(a[:n], np.float64), np.asarray(b[:n], np.float64)
+    norm = np.sqrt(x @ x) * np.sqrt(y @ y)
+    return float(x @ y / norm) if norm > 0 else 0.0
+
+
+_LINKS = "_block int, _episode int, _burst int, _same_day boolean, _same_episode boolean, _several boolean, _end int, _edge array<float>"
+
+
+def _linker(columns: list[str], gap: int, similarity: float, window: int):
+    """Adds to each row of a range, in order: its episode and burst, counted within the range, and whether these may go on from
+    the range before (`_same_day`, `_same_episode`), whether its burst may hold several. `_end` is -1 for the first row of
+    the range, 1 for a repetition of the last, which carry their vectors (`_edge`), else 0."""
+    day, at, vector = columns.index("taken_date"), columns.index("_t"), columns.index("feature_vector")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last = TaskContext.get().partitionId(), None
+        days = episode = burst = 0
+        previous, whole_day, whole_episode = None, True, True
+
+        def extended(b: pa.RecordBatch, made: dict, end: np.ndarray, edge: list) -> pa.RecordBatch:
+            n = b.num_rows
+            more = [
+                pa.array(np.full(n, block, np.int32)), pa.array(made["episode"], pa.int32()), pa.array(made["burst"], pa.int32()), pa.array(made["same_day"]),
+                pa.array(made["same_episode"]), pa.array(made["several"]), pa.array(end, pa.int32()), pa.array(edge, pa.list_(pa.float32())),
+            ]
+            return pa.RecordBatch.from_arrays([*b.columns, *more], names=[*columns, *(c.split()[0] for c in _LINKS.split(", "))])
+
+        held = None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            d, t = np.asarray(b.column(day).cast(pa.int32())), np.asarray(b.column(at))
+            s, after = _linked_similarity(b.column(vector), previous)
+            first = last is None
+            d0, t0 = (d[0], t[0]) if first else last
+            new_day = np.append(d[:1], d)[1:] != np.append([d0], d[:-1])
+            wait = t - np.append([t0], t[:-1])
+            fresh = new_day | (wait > gap) | (s < similarity)
+            shot = fresh | (wait > window)
+            if first:
+                fresh[0] = shot[0] = new_day[0] = False  # whether they are is told by the range before
+            made = {k: np.empty(n, t_) for k, t_ in (("episode", np.int64), ("burst", np.int64), ("same_day", bool), ("same_episode", bool))}
+            # Running counts that start anew with each day, and with each episode.
+            seg = np.cumsum(new_day)
+            total = np.cumsum(fresh)
+            start = np.maximum.accumulate(np.where(new_day, total - 1, -1))
+            made["episode"] = np.where(seg > 0, total - np.maximum(start, 0), episode + total)
+            hits = np.cumsum(shot)
+            begun = np.maximum.accumulate(np.where(fresh, hits - 1, -1))
+            made["burst"] = np.where(total > 0, hits - np.maximum(begun, 0), burst + hits)
+            made["same_day"] = whole_day & (seg == 0)
+            made["same_episode"] = whole_episode & (total == 0)
+            several = np.ones(n, bool)
+            several[:-1] = ~(shot[:-1] & shot[1:])  # the last of a batch may go on
+            made["several"] = several | ((np.arange(n) == 0) & first)
+            episode, burst = int(made["episode"][-1]), int(made["burst"][-1])
+            whole_day, whole_episode = bool(made["same_day"][-1]), bool(made["same_episode"][-1])
+            last, previous = (d[-1], t[-1]), after
+            end, edge = np.zeros(n, np.int32), [None] * n
+            if first:
+                end[0], edge[0] = -1, b.column(vector)[0].as_py()
+            yield extended(b, made, end, edge)
+            held = (b.slice(n - 1, 1), {k: v[-1:] for k, v in made.items()})
+        if held:
+            yield extended(held[0], held[1], np.ones(1, np.int32), [held[0].column(vector)[0].as_py()])
+
+    return link
+
+
+def episodes(candidates: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
+    """Adds `taken_date`, `episode` (from 1 within the date): a new one starts after a gap of more than six hours or where
+    a photo is unlike the one before (both with vectors); and for `bursts`, `_burst` and `_several`."""
+    gap, window = round(cfg.episode_gap_hours * 3_600_000_000), round(cfg.burst_window_seconds * 1_000_000)
+    dated = candidates.withColumn("taken_date", F.to_date("date_taken")).withColumn("_t", micros("date_taken"))
+    ranged = dated.repartitionByRange("date_taken", "id").sortWithinPartitions("date_taken", "id")
+    schema = T.StructType([*ranged.schema.fields, *T.StructType.fromDDL(_LINKS).fields])
+    linked = materialize(ranged.mapInArrow(_linker(ranged.columns, gap, cfg.episode_min_similarity, window), schema), "links")
+    # Two rows per range, however many photos there are: how far its first day and its first episode are ahead.
+    ends = linked.where("_end <> 0").select("_block", "_end", "taken_date", "_t", "_episode", "_burst", "_same_day", "_same_episode", "_edge").orderBy("_block", "_end").collect()
+    ahead, before = [], None
+    for first, last in zip(ends[::2], ends[1::2]):
+        more_episodes = more_bursts = 1
+        if before is not None and before[0].taken_date == first.taken_date:
+            end, e, b = before
+            a, c = end._edge, first._edge
+            unlike = a is not None and c is not None and _pair(np.array(a), np.array(c)) < cfg.episode_min_similarity
+            if first._t - end._t > gap or unlike:
+                more_episodes = e + 1
+            else:
+                more_episodes, more_bursts = e, b + (first._t - end._t > window)
+        ahead.append((first._block, more_episodes, more_bursts))
+        before = (last, last._episode + (more_episodes if last._same_day else 0), last._burst + (more_bursts if last._same_episode else 0))
+    offsets = F.broadcast(candidates.sparkSession.createDataFrame(ahead, "_block int, _e int, _b int"))
     return (
-        photos.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(line) > window, F.lit(True)).cast("int"))
-        .withColumn("burst", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        .drop("_new")
+        linked.where("_end < 1").join(offsets, "_block")
+        .withColumn("episode", (F.col("_episode") + F.when(F.col("_same_day"), F.col("_e")).otherwise(0)).cast("int"))
+        .withColumn("_burst", (F.col("_burst") + F.when(F.col("_same_episode"), F.col("_b")).otherwise(0)).cast("int"))
+        .select(*dated.columns, "episode", "_burst", "_several")
     )
 
 
-#: Episodes that one call of a fold receives at most; fewer calls, same results.
-EPISODES_PER_CALL = 64
+def bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
+    """Adds `burst` (from 1 within the episode) to what `episodes` gives: photos at most fifteen seconds after the one before."""
+    return photos.withColumnRenamed("_burst", "burst")
 
 
 def _direction(v) -> np.ndarray | None:
@@ -121,8 +232,7 @@ def keep_best(vectors: list, scores: list[float], similarity: float) -> list[int
 
 
 def deduplicate_bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFrame:
-    """One photo per group of near-equal ones in a burst; adds `slot`. Bursts of one pass through the fold untouched: a
-    branch of their own would compute everything before it twice."""
+    """One photo per group of near-equal ones in a burst; adds `slot`. Bursts of one pass by the fold."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["episode", "burst", "date_taken", "id"], kind="stable").reset_index(drop=True)
@@ -136,21 +246,24 @@ def deduplicate_bursts(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> Dat
         out["slot"] = np.array(slots, np.int32)
         return out.drop(columns="_call")
 
+    photos = photos if "_several" in photos.columns else photos.withColumn("_several", F.lit(True))
     schema = photos.withColumn("slot", F.lit(0)).schema
-    called = photos.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}"))
-    return called.groupBy("taken_date", "_call").applyInPandas(fold, schema)
+    folded = photos.where("_several").withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}")).groupBy("taken_date", "_call").applyInPandas(fold, schema)
+    return folded.unionByName(photos.where("not _several").withColumn("slot", F.lit(0))).drop("_several")
 
 
 def within_quota(photos: DataFrame, cfg: CurationConfig = DEFAULTS, position: tuple[str, ...] = ("date_taken", "burst", "slot", "id")) -> DataFrame:
     """The best of each episode: all up to ten, else eight tenths, ten at least. Adds `rank` (by score, then position)."""
-    episode = Window.partitionBy(*EPISODE)
+    # Dealt as the pages will be, so that these need no shuffle of their own.
+    photos = photos.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}")).repartition("taken_date", "_call")
+    episode = Window.partitionBy("taken_date", "_call", "episode")
     order = episode.orderBy(F.desc("score"), *position)
     most = F.greatest(F.lit(cfg.quota_floor), F.expr(f"(_n * {cfg.quota_tenths}) div 10"))
     return (
         photos.withColumn("_n", F.count(F.lit(1)).over(episode))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= F.least(F.col("_n"), most))
-        .drop("_n")
+        .drop("_n")  # `_call` stays: the pages are dealt by it
     )
 
 
@@ -214,10 +327,10 @@ def episode_pages(photos: DataFrame, cfg: CurationConfig = DEFAULTS) -> DataFram
         out.insert(0, "taken_date", pdf["taken_date"].iloc[0])
         return out
 
-    slim = photos.select(*EPISODE, "date_taken", "rank", "id", primary_tag("tags").alias("kind"), "tags", "feature_vector", "sharpness_score", "face_count")
+    photos = photos if "_call" in photos.columns else photos.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}"))
+    slim = photos.select(*EPISODE, "_call", "date_taken", "rank", "id", primary_tag("tags").alias("kind"), "tags", "feature_vector", "sharpness_score", "face_count")
     id_type = photos.schema["id"].dataType.simpleString()
-    called = slim.withColumn("_call", F.expr(f"episode div {EPISODES_PER_CALL}"))
-    return called.groupBy("taken_date", "_call").applyInPandas(fold, f"taken_date date, episode int, page_in_episode int, photo_index int, photo_id {id_type}, kind string")
+    return slim.groupBy("taken_date", "_call").applyInPandas(fold, f"taken_date date, episode int, page_in_episode int, photo_index int, photo_id {id_type}, kind string")
 
 
 def number_pages(pages: DataFrame) -> DataFrame:

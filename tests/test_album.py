@@ -139,3 +139,24 @@ def test_previews_of_a_large_album(spark, tmp_path):
 def test_exclusion_in_the_album(spark):
     df = shoot(spark, 4, step=3600, tags=[["Landscape"], ["Screenshot", "Computer & Tech"], ["Document", "Paper"], ["Uninteresting", "Blurry"]])
     assert pages(df) == [[1]]
+
+
+def test_ranges_of_one_day_are_put_together(spark):
+    """A day cut into many ranges gives the same as in one piece: episodes, bursts and pages go on over the cuts."""
+    import random
+
+    rng, made, t = random.Random(5), [], DAY.replace(hour=0)
+    for k in range(240):
+        t += timedelta(seconds=rng.choice([0, 3, 9, 14, 15, 16, 40, 200]) if k % 60 else 0)
+        v = rng.choice([at(0), at(5), at(15), at(80), at(100), None, [], [1.0], [0.0, 0.0]])
+        made.append(photo(k + 1, f"/p{k}.jpg", t if k < 200 else t + timedelta(days=k - 199), tags=[rng.choice("ABC")], feature_vector=v, sharpness_score=60.0 + rng.random()))
+    df, ways = rows(spark, *made), []
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for partitions in ("1", "7", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        marked = album.bursts(album.episodes(album.album_candidates(df)))
+        ways.append((sorted((r.id, r.episode, r.burst) for r in marked.collect()), sorted(map(tuple, album.album(df).collect()))))
+    for c, v in kept.items():
+        spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert ways[0] == ways[1] == ways[2] and len(ways[0][0]) == 240
