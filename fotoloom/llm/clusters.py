@@ -593,8 +593,8 @@ def complete_clusters(verified: DataFrame, least: int) -> DataFrame:
 
 def medoid_clusters(verified: DataFrame, typical: int = 3) -> DataFrame:
     """One row per record: `id`, `cluster_id` (its medoid), `size`, `typical` (the cluster's members of highest degree, then
-    highest likeness, then smallest id, at most so many)."""
-    order = Window.partitionBy("medoid").orderBy(F.desc("degree"), F.desc_nulls_last("likeness"), "id")
+    highest likeness to nine places, then smallest id, at most so many)."""
+    order = Window.partitionBy("medoid").orderBy(F.desc("degree"), F.round("likeness", 9).desc_nulls_last(), "id")
     top = verified.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= typical)
     top = top.groupBy("medoid").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "id"))), lambda s: s["id"]).alias("typical"))
     size = verified.groupBy("medoid").agg(F.count(F.lit(1)).alias("size"))

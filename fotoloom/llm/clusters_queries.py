@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Every photo with its cluster, named by the medoid, the cluster's size and its most typical photos."""
     found = medoid_clusters(_verified(spark, folder, True))
-    return found.select(F.col("id").cast("int").alias("photo_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "size", "typical")
+    return found.select(F.col("id").cast("int").alias("photo_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "size", F.array_join("typical", "|").alias("typical"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters}
@@ -47,4 +47,22 @@ WITH kept AS (
 SQL = {
     "p2_found": f"""{_KEPT}
 SELECT closed[1] AS cluster_id, unnest(closed) AS photo_id FROM around GROUP BY closed HAVING count(*) = len(closed) AND len(closed) >= 3""",
+    # Rounds: whose best neighbour among those left (itself included) is itself, heads; whose best one is a head, joins it.
+    "p2_clusters": f"""{_KEPT.replace("WITH", "WITH RECURSIVE", 1)},
+  cosines AS (SELECT a.id, a.other, CASE WHEN a.id <> a.other THEN array_cosine_similarity(x.v, y.v) END AS s FROM alike a JOIN usable x ON x.id = a.id JOIN usable y ON y.id = a.other),
+  degrees AS (SELECT id, count(*) - 1 AS degree, round(avg(s), 9) AS likeness FROM cosines GROUP BY id),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY degree DESC, id) AS place FROM degrees),
+  edges AS (SELECT a.id, a.other, r.place FROM alike a JOIN ranked r ON r.id = a.other),
+  rounds AS (
+    SELECT id, NULL::INTEGER AS medoid, 0 AS n FROM usable
+    UNION ALL
+    SELECT id, CASE WHEN heads THEN best END, n + 1 FROM (
+      SELECT b.id, b.best, b.n, coalesce(bool_or(b.best = b.id) OVER (PARTITION BY b.best), false) AS heads FROM (
+        SELECT l.id, l.n, arg_min(e.other, e.place) AS best FROM rounds l JOIN edges e ON e.id = l.id JOIN rounds m ON m.id = e.other AND m.medoid IS NULL
+        WHERE l.medoid IS NULL GROUP BY l.id, l.n) b)),
+  member AS (SELECT id, medoid FROM rounds WHERE medoid IS NOT NULL),
+  typical AS (SELECT medoid, list(id ORDER BY nth) AS typical FROM (
+    SELECT m.medoid, m.id, row_number() OVER (PARTITION BY m.medoid ORDER BY d.degree DESC, d.likeness DESC NULLS LAST, m.id) AS nth FROM member m JOIN degrees d ON d.id = m.id)
+    WHERE nth <= 3 GROUP BY medoid)
+SELECT m.id AS photo_id, m.medoid AS cluster_id, count(*) OVER (PARTITION BY m.medoid) AS size, array_to_string(t.typical, '|') AS typical FROM member m JOIN typical t ON t.medoid = m.medoid""",
 }
