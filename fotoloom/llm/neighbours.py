@@ -31,7 +31,7 @@ from fotoloom.scratch import materialize
 SAMPLE = 12_288
 PILOTS = 192
 #: Queries that are broadcast at most.
-FEW_QUERIES = 4_096
+FEW_QUERIES = 1_024
 MAX_PARTS = 512
 ROWS_PER_PART = 24  # of the sample, at least
 LEAST_PART = 96  # rows of the collection in a part, about, at least
