@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from fotoloom.llm import clusters as C
+from fotoloom.llm.packed import packed, unpacked
 from fotoloom.llm.components import connected_components, label_components, spanning_forest
 
 SCHEMA = "id int, at timestamp_ntz, v array<float>, comp string, t int, _n int"  # with clashing names
@@ -172,12 +173,16 @@ def test_sets_of_near_vectors_share_more():
     y /= np.linalg.norm(y, axis=1)[:, None]
     ids = pa.array(np.arange(400))
 
-    def packed(m):
-        column = pa.array(m.astype(np.float32).tolist(), pa.list_(pa.float32()))
-        return next(C._set_rows(128)(iter([pa.RecordBatch.from_arrays([ids, column], names=["id", "v"])]))).column(1)
-
-    sx, sy = packed(x), packed(y)
+    sets = lambda m: next(C._set_rows(128)(iter([pa.RecordBatch.from_arrays([ids, packed(m)], names=["id", "v"])]))).column(1)
+    sx, sy = sets(x), sets(y)
     check = C._jaccard(C.least_jaccard(0.85))
     near = next(check(iter([pa.RecordBatch.from_arrays([ids, ids, sx, sy], names=list("abxy"))])))
     far = next(check(iter([pa.RecordBatch.from_arrays([ids, ids, sx, pa.array(sy.to_pylist()[::-1], pa.binary())], names=list("abxy"))])))
     assert near.num_rows >= 396 and far.num_rows == 0
+
+
+def test_packed_vectors_round_trip():
+    m = np.arange(12, dtype=np.float32).reshape(4, 3)
+    column = packed(m)
+    assert (unpacked(column, 3) == m).all() and (unpacked(column.slice(1, 2), 3) == m[1:3]).all() and unpacked(column.slice(0, 0), 3).shape == (0, 3)
+    assert column.to_pylist()[2] == m[2].tobytes()
