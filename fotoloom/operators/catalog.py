@@ -24,13 +24,13 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "id", columns: tupl
 
     Within the batch the first row by `order` gives a new path's insert-only columns and the last one the updated columns.
     Defined results: rows with a null path are left out; an empty batch changes nothing; of rows with equal `order` the
-    one whose values (of the columns concerned, as JSON) are least is first, and the one whose values are greatest last.
+    one whose values (of the columns concerned, one after the other) are least is first, and the one whose values are greatest last.
     Both sides are pre-aggregated by path, so one path may fill the whole batch.
     """
     columns = columns or tuple(c for c in stored.columns if c != "file_path")
     fixed, changing = [c for c in columns if c not in UPDATED], [c for c in columns if c in UPDATED]
-    first = F.min_by(F.struct(*fixed), F.struct(F.col(order), F.to_json(F.struct(*fixed)))).alias("_f")
-    last = F.max_by(F.struct(*changing), F.struct(F.col(order), F.to_json(F.struct(*changing)))).alias("_c")
+    first = F.min_by(F.struct(*fixed), F.struct(F.col(order).alias("_o"), *fixed)).alias("_f")
+    last = F.max_by(F.struct(*changing), F.struct(F.col(order).alias("_o"), *changing)).alias("_c")
     both = batch.where("file_path is not null").groupBy("file_path").agg(first, last)
     old = stored.where("file_path is not null").select("file_path", *(F.col(c).alias(f"_old_{c}") for c in columns), F.lit(True).alias("_stored"))
     joined = old.join(both, "file_path", "full_outer")
